@@ -14,6 +14,7 @@ import bisect
 import itertools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,22 @@ from ._shared import by_bytes, stash, texts_only
 SEQ_LEN = 4096
 END_ID = 1
 #: Distinct words whose ids a worker process keeps; a miss is encoded again, so the bound changes no result.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 _SLICE = 1 << 20
 _SPACE = re.compile(r"[ \n\t\r]")
+_BLANK = bytes(32 if i in (9, 10, 13) else i for i in range(256))
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else _BLANK[i] for i in range(256))
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _plain(text: str) -> list[bytes]:
+    """Words (UTF-8) whose ids one after the other are those of the text.
+
+    The tokenizer drops white space and lower-cases, so words are lower-cased first. Letters keep their case where
+    combining marks (lead bytes 0xCC, 0xCD) are in the text, because those are composed before it lower-cases.
+    """
+    raw = text.encode()
+    return raw.translate(_BLANK if b"\xcc" in raw or b"\xcd" in raw else _LOWER).split(b" ")
 
 
 _CODERS: dict = {}
@@ -47,28 +61,38 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def add(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
+        self.model = self.tokenizer.model  # its steps before the model change nothing in a word of a-z
+
+    def add(self, new: list[bytes]) -> None:
+        # it never joins a letter or digit to a sign: a final stop or comma is a word of its own
+        parted = [w for w in new if len(w) > 1 and w[-1] in b".," and w[-2] in _ALNUM]
+        whole = set(new).difference(parted)
+        whole.update([w[:-1] for w in parted], (b".", b",") if parted else ())
+        todo = list(whole.difference(self.known))
+        merge = self.model.tokenize
+        self.known.update([(w, array("I", [t.id for t in merge(w.decode())]).tobytes()) for w in todo if w.isalpha() and w.islower()])
+        todo = [w for w in todo if w not in self.known]
+        for at in range(0, len(todo), 500):
+            part = [w.decode() for w in todo[at : at + 500]]
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, "<u4").tobytes()
-            first = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), starts).tolist()
-            for k, w in enumerate(part):
-                self.known[w] = ids[4 * first[k] : 4 * first[k + 1]]
+            first = (4 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), starts)).tolist()
+            self.known.update(zip(todo[at : at + 500], [ids[i:j] for i, j in itertools.pairwise(first)], strict=True))
+        known = self.known
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in parted])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        lists: list[list[str]] = []
-        new: set[str] = set()
+        lists: list[list[bytes]] = []
+        new: set[bytes] = set()
         for text in texts:
-            lists.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+            lists.append(_plain(text))
             new.update(lists[-1])
         if len(self.known) > CACHE_WORDS:  # the first words seen are mostly the frequent ones
             self.known = dict(itertools.islice(self.known.items(), CACHE_WORDS // 2))
-        self.add([w for w in new if w not in self.known])
+        self.add(list(new.difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
@@ -148,14 +172,14 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, keys: tuple[str, ...] = ("d
     """``pieces`` (a stored table with ``length`` of 1..seq_len) plus sequence_id long and offset long.
 
     Ties and repeated rows are told apart by rank only. A size that many rows share is ranked in salted groups
-    of about 2,000 rows or more, whose offsets come from their counts, so no task gets a whole hot size.
+    of about 500 rows or more, whose offsets come from their counts, so no task gets a whole hot size.
     """
     spark = pieces.sparkSession
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= s <= seq_len for s in hist):
         raise ValueError(f"piece lengths must be 1 to {seq_len}")
     runs = plan_sweeps(hist, seq_len)
-    target = max(2000, sum(hist.values()) // 1_000_000)
+    target = max(500, sum(hist.values()) // 1_000_000)
     salts = spark.createDataFrame([(s, -(-n // target)) for s, n in hist.items()], "length long, salts long")
     # at most seq_len rows: a proven bound
     salted = pieces.join(F.broadcast(salts), "length", "left").withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts"))).drop("salts")
