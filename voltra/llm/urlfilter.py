@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Entries that may be broadcast: their number is counted first; larger lists are shuffled.
+#: Rows of the list (by month) that may be broadcast: they are counted first; larger lists are shuffled.
 BROADCAST_ROWS = 20_000
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -61,7 +61,7 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     # a single row, the end of the open intervals
     listed = spans.crossJoin(F.broadcast(last)).withColumn("to", F.least(F.coalesce(F.date_sub("until", 1), F.col("last")), F.col("last"))).filter("since <= to")
     listed = listed.select("kind", "pattern", "action", "since", "until", F.explode(F.sequence(_month(F.col("since")), _month(F.col("to")))).alias("month"))
-    if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
     held = asked.join(listed, ["kind", "pattern", "month"]).filter("since <= fetched_on and (until is null or fetched_on < until)")
     best = held.groupBy(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("fetched_on").alias("_f")).agg(F.max(F.struct("rank", "action", "pattern", "since")).alias("b"))
