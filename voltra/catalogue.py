@@ -1,11 +1,340 @@
-"""Registered queries of the recording engine."""
+"""Registered queries of the recording engine over the shared tables, and SQL for those that SQL can express.
+
+Vectors are read as recordings of two channels (X forward, Y backward) of 64 samples with sample 1 as time 0; users of
+the event stream are recordings of one channel whose triggers are their event types.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import channels as chf
+from .model import Recording
+from .operators import artifacts, dsp, ica, spectral, timeline, topography
+from .plans.routing import na_mean
+
+
+def dense(spark: SparkSession, d: str) -> Recording:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    wide = e.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_v"), F.posexplode("embedding").alias("_p", "_x"))
+    signal = wide.select("_id", (F.col("_p") - 9).cast("int").alias("_sample"), F.col("_x").cast("double").alias("X"), F.get("_v", 63 - F.col("_p")).cast("double").alias("Y"))
+    segments = e.select(F.col("vec_id").alias("_id"), F.concat(F.lit("rec"), (F.col("label") % 3).cast("string")).alias("_recording"), "label", F.when(F.col("label") % 2 == 0, "a").otherwise("b").alias("condition"))
+    none = F.lit(None).cast("string")
+    at = (F.col("vec_id") % 60 - 9).cast("int")
+    bad = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("_id"), F.lit("Bad").alias("_type"), none.alias("_description"), at.alias("_initial"), F.least(at + 3, F.lit(54)).alias("_final"), F.when(F.col("vec_id") % 3 == 0, "X").when(F.col("vec_id") % 3 == 1, "Y").alias("_channel"))
+    zero = e.select(F.col("vec_id").alias("_id"), F.lit("Time 0"), none, F.lit(1), F.lit(1), none)
+    return Recording(signal, bad.union(zero), segments, 500.0, {"X": {"_x": 1.0, "_y": 0.0, "_z": 1.0}, "Y": {"_x": -1.0, "_y": 1.0, "_z": 0.5}})
+
+
+def stream(spark: SparkSession, d: str) -> Recording:
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("_sample", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    signal = e.select(F.col("user_id").alias("_id"), "_sample", F.col("value").cast("double").alias("V"))
+    none = F.lit(None).cast("string")
+    events = e.select(F.col("user_id").alias("_id"), F.col("event_type").alias("_type"), none.alias("_description"), F.col("_sample").alias("_initial"), F.col("_sample").alias("_final"), none.alias("_channel"))
+    segments = e.select(F.col("user_id").alias("_id")).distinct().withColumn("_recording", F.concat(F.lit("user"), F.col("_id").cast("string")))
+    return Recording(signal, events, segments, 100.0, {"V": {}})
+
+
+def _r(c: Column | str, name: str | None = None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.round(c, 6) + F.lit(0.0)).alias(name) if name else F.round(c, 6) + F.lit(0.0)
+
+
+def _signal(x: Recording) -> DataFrame:
+    return x.signal.select("_id", x.order, *[_r(c, c) for c in x.vars])
+
+
+_EVENTS = ["_id", "_type", "_initial", "_final", "_channel"]
+
+BASE = """
+sig AS (SELECT vec_id AS _id, (i - 10)::INT AS _sample, embedding[i]::DOUBLE AS X, embedding[65 - i]::DOUBLE AS Y FROM embeddings, unnest(range(1, 65)) AS t(i)),
+seg AS (SELECT vec_id AS _id, 'rec' || (label % 3) AS _recording, label, CASE WHEN label % 2 = 0 THEN 'a' ELSE 'b' END AS condition FROM embeddings),
+ev AS (SELECT vec_id AS _id, 'Bad' AS _type, (vec_id % 60 - 9)::INT AS _initial, least(vec_id % 60 - 6, 54)::INT AS _final, CASE vec_id % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' END AS _channel FROM embeddings WHERE vec_id % 2 = 0
+  UNION ALL SELECT vec_id, 'Time 0', 1, 1, NULL FROM embeddings),
+st AS (SELECT user_id AS _id, event_type AS _type, value::DOUBLE AS V, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS _sample FROM events)
+"""
+
+
+def _sql(body: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join([BASE, *ctes]) + "\n" + body
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_BASELINE = "b AS (SELECT _id, _sample, X - avg(CASE WHEN _sample <= 0 THEN X END) OVER (PARTITION BY _id) AS X, Y - avg(CASE WHEN _sample <= 0 THEN Y END) OVER (PARTITION BY _id) AS Y FROM sig)"
+
+
+@_query(_sql("SELECT _sample, condition, round(avg(X), 6) + 0.0 AS X, round(avg(Y), 6) + 0.0 AS Y FROM b JOIN seg USING (_id) GROUP BY ALL", _BASELINE))
+def erp_average(spark, d):
+    x = timeline.baseline(dense(spark, d)).group_by("_sample", "condition")
+    x = x.summarize(**{c: na_mean(c) for c in ("X", "Y")})
+    return x.signal.join(x.segments, "_id").select("_sample", "condition", _r("X", "X"), _r("Y", "Y"))
+
+
+@_query(_sql("SELECT _id, _sample, round(X, 6) + 0.0 AS X, round(Y, 6) + 0.0 AS Y FROM b", _BASELINE))
+def baseline(spark, d):
+    return _signal(timeline.baseline(dense(spark, d)))
+
+
+@_query(_sql("SELECT _id, _sample, round(2 * X + label, 6) + 0.0 AS Z, label * 10 AS tens FROM sig JOIN seg USING (_id)"))
+def mutate_routed(spark, d):
+    x = dense(spark, d).mutate(Z="2 * X + label", tens="label * 10")
+    return x.signal.join(x.segments.select("_id", "tens"), "_id").select("_id", "_sample", _r("Z", "Z"), "tens")
+
+
+@_query(_sql("SELECT _id, _sample, round(X - avg(X) OVER (PARTITION BY condition, _sample), 6) + 0.0 AS D, count(*) OVER (PARTITION BY condition, _sample) AS n FROM sig JOIN seg USING (_id)"))
+def mutate_grouped(spark, d):
+    x = dense(spark, d).group_by("condition", "_sample").mutate(D="X - avg(X)", n="count(X)")
+    return x.signal.select("_id", "_sample", _r("D", "D"), "n")
+
+
+@_query(_sql("SELECT _id, _sample, round(abs(X) + Y, 6) + 0.0 AS A FROM sig"))
+def transmute(spark, d):
+    return _signal(dense(spark, d).transmute(A="abs(X) + Y"))
+
+
+@_query(_sql("SELECT ev._id, _type, greatest(_initial, lo) AS _initial, least(_final, hi) AS _final, _channel FROM ev JOIN e ON ev._id = e._id AND _initial <= hi AND _final >= lo", "e AS (SELECT _id, min(_sample) AS lo, max(_sample) AS hi FROM sig WHERE X > 0.2 AND _sample > 5 GROUP BY _id)"))
+def filter_clips_events(spark, d):
+    return dense(spark, d).filter("X > 0.2", "_sample > 5").events.select(*_EVENTS)
+
+
+@_query(_sql("SELECT _id, count(*) AS n, (SELECT count(*) FROM ev WHERE ev._id = sig._id) AS n_events FROM sig WHERE _id IN (SELECT _id FROM seg WHERE condition = 'a' AND label > 2) GROUP BY _id"))
+def filter_segments(spark, d):
+    x = dense(spark, d).filter("condition = 'a'", "label > 2")
+    return x.signal.groupBy("_id").agg(F.count("*").alias("n")).join(x.events.groupBy("_id").agg(F.count("*").alias("n_events")), "_id")
+
+
+@_query(_sql("SELECT _id, _sample, round(X, 6) + 0.0 AS X, round(Y, 6) + 0.0 AS Y FROM sig WHERE _id IN (SELECT _id FROM m WHERE m.m > q) AND true", "g AS (SELECT condition, avg(mx) AS q FROM (SELECT _id, max(X) AS mx FROM sig GROUP BY _id) JOIN seg USING (_id) GROUP BY condition)", "m AS (SELECT s._id, max(X) AS m, any_value(q) AS q FROM sig s JOIN seg USING (_id) JOIN g USING (condition) GROUP BY s._id)"))
+def filter_after_grouped_mutate(spark, d):
+    x = dense(spark, d).group_by("_id").mutate(mx="max(X)").ungroup()
+    means = x.signal.select("_id", "mx").distinct().join(x.segments, "_id").groupBy("condition").agg(F.avg("mx").alias("q"))
+    x = x.left_join(means, ["condition"]).filter("mx > q")
+    return x.signal.select("_id", "_sample", _r("X", "X"), _r("Y", "Y"))
+
+
+@_query(_sql("SELECT _id, _sample, X, Y FROM (SELECT *, row_number() OVER (ORDER BY _id, _sample) AS n FROM sig) WHERE n BETWEEN 100 AND 900"))
+def slice_signal(spark, d):
+    return dense(spark, d).slice_signal(100, 900).signal
+
+
+@_query(_sql("SELECT dense_rank() OVER (ORDER BY condition) AS _id, condition, round(var_samp(X), 6) AS v, max(Y) AS m, count(*) AS n FROM sig JOIN seg USING (_id) GROUP BY condition"))
+def summarize_condition(spark, d):
+    x = dense(spark, d).group_by("condition").summarize(v="var_samp(X)", m="max(Y)", n="count(1)")
+    return x.signal.join(x.segments, "_id").select("_id", "condition", F.round("v", 6).alias("v"), "m", "n")
+
+
+@_query(_sql("SELECT seg._id, label, n_name FROM seg LEFT JOIN nation ON label = n_nationkey AND n_nationkey < 5"))
+def left_join_segments(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").filter("n_nationkey < 5").select(F.col("n_nationkey").alias("label"), "n_name")
+    return dense(spark, d).left_join(n, ["label"]).segments.select("_id", "label", "n_name")
+
+
+@_query(_sql("SELECT _id, count(*) AS n FROM sig JOIN seg USING (_id) WHERE label IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY _id"))
+def semi_join_segments(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("label"))
+    return dense(spark, d).semi_join(n, ["label"]).signal.groupBy("_id").agg(F.count("*").alias("n"))
+
+
+@_query(_sql("SELECT ev.* FROM ev JOIN seg USING (_id) WHERE label NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"))
+def anti_join_segments(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("label"))
+    return dense(spark, d).anti_join(n, ["label"]).events.select(*_EVENTS)
+
+
+@_query(_sql("SELECT i.new AS _id, _sample, X, CASE WHEN src = 0 THEN Y END AS Y FROM ids i JOIN sig ON sig._id = i._id", "ids AS (SELECT src, _id, row_number() OVER (ORDER BY src, _id) AS new FROM (SELECT 0 AS src, _id FROM seg WHERE condition = 'a' UNION ALL SELECT 1, _id FROM seg WHERE condition = 'b'))"))
+def bind(spark, d):
+    import warnings
+
+    x = dense(spark, d)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return Recording.bind(x.filter("condition = 'a'"), x.filter("condition = 'b'").select("X")).signal
+
+
+_ANCHORS = "a AS (SELECT _id AS old, _sample AS first, row_number() OVER (ORDER BY _id, _sample) AS new FROM st WHERE _type = 'purchase')"
+
+
+@_query(_sql("SELECT new AS _id, _sample - first + 1 AS _sample, V FROM a JOIN st ON old = _id AND _sample BETWEEN first - 3 AND first + 5", _ANCHORS))
+def segment_around(spark, d):
+    return timeline.segment(stream(spark, d), "_type = 'purchase'", lim=(-3, 5), unit="samples").signal
+
+
+@_query(_sql("SELECT new AS _id, _type, _sample - first + 1 AS _initial, _sample - first + 1 AS _final, NULL::VARCHAR AS _channel FROM a JOIN st ON old = _id AND _sample BETWEEN first - 3 AND first + 5", _ANCHORS))
+def segment_events(spark, d):
+    return timeline.segment(stream(spark, d), "_type = 'purchase'", lim=(-0.03, 0.05)).events.select(*_EVENTS)
+
+
+@_query(_sql("SELECT round(avg(V), 6) + 0.0 AS V, _sample - first + 1 AS _sample, count(*) AS n FROM a JOIN st ON old = _id AND _sample BETWEEN first - 3 AND first + 5 GROUP BY 2", _ANCHORS))
+def segmented_average(spark, d):
+    x = timeline.segment(stream(spark, d), "_type = 'purchase'", lim=(-3, 5), unit="samples").group_by("_sample").summarize(V=F.avg("V"), n=F.count("*"))
+    return x.signal.select("_sample", _r("V", "V"), "n")
+
+
+@_query(_sql("SELECT new AS _id, _sample - first + 1 AS _sample, V FROM s JOIN st ON old = _id AND _sample BETWEEN first AND stop", "m AS (SELECT *, lead(_sample) OVER w AS stop, lead(_type) OVER w AS nxt FROM st WHERE _type IN ('view', 'purchase') WINDOW w AS (PARTITION BY _id ORDER BY _sample))", "s AS (SELECT _id AS old, _sample AS first, CASE WHEN nxt = 'purchase' THEN stop END AS stop, row_number() OVER (ORDER BY _id, _sample) AS new FROM m WHERE _type = 'view')"))
+def segment_to_end(spark, d):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return timeline.segment(stream(spark, d), "_type = 'view'", end="_type = 'purchase'").signal
+
+
+@_query(_sql("SELECT 1::BIGINT AS _id, row_number() OVER (ORDER BY _id, _sample) AS _sample, V FROM st"))
+def unsegment(spark, d):
+    return timeline.unsegment(stream(spark, d)).signal.withColumn("_sample", F.col("_sample").cast("long"))
+
+
+@_query(_sql("SELECT _id, _sample, round(X - (X + Y) / 2, 6) + 0.0 AS X, round(Y - (X + Y) / 2, 6) + 0.0 AS Y FROM sig"))
+def rereference(spark, d):
+    return _signal(chf.rereference(dense(spark, d), ref=["X", "Y"]))
+
+
+@_query(_sql("SELECT _id, _sample, round((X + Y) / 2, 6) + 0.0 AS mean FROM sig"))
+def chs_mean(spark, d):
+    return _signal(chf.chs_mean(dense(spark, d)))
+
+
+@_query(_sql("SELECT _id, _sample, greatest(X, Y) AS max, least(X, Y) AS min, round(abs(X - Y) / sqrt(2), 6) + 0.0 AS sd FROM sig"))
+def chs_fun(spark, d):
+    return chf.chs_fun(dense(spark, d), {"max": "max", "min": "min", "sd": "sd"}).signal.select("_id", "_sample", "max", "min", _r("sd", "sd"))
+
+
+@_query(_sql("SELECT sig._id, _sample, CASE WHEN b.c IS NULL OR b.c = 'Y' THEN X END AS X, CASE WHEN b.c IS NULL OR b.c = 'X' THEN Y END AS Y FROM sig LEFT JOIN (SELECT _id, coalesce(_channel, 'all') AS c FROM ev WHERE _type = 'Bad') b ON sig._id = b._id"))
+def events_to_na_segment(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'").signal
+
+
+@_query(_sql("SELECT sig._id, _sample, CASE WHEN b.c IS NULL OR b.c = 'Y' THEN X END AS X, CASE WHEN b.c IS NULL OR b.c = 'X' THEN Y END AS Y FROM sig LEFT JOIN (SELECT *, coalesce(_channel, 'all') AS c FROM ev WHERE _type = 'Bad') b ON sig._id = b._id AND _sample BETWEEN _initial AND _final"))
+def events_to_na_interval(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'", entire_seg=False).signal
+
+
+def _merge(hits: str, low: int, high: int) -> list[str]:
+    return [
+        f"h AS ({hits})",
+        f"sp AS (SELECT _id, c, CASE WHEN _sample + {low} < -10 THEN -9 ELSE _sample + {low} END AS a, least(_sample + {high}, 54) AS z FROM h WHERE hit)",
+        "ru AS (SELECT *, CASE WHEN a - 1 > max(z) OVER (PARTITION BY _id, c ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM sp)",
+        "rn AS (SELECT *, sum(fresh) OVER (PARTITION BY _id, c ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS run FROM ru)",
+    ]
+
+
+_LONG = "l AS (SELECT _id, _sample, 'X' AS c, X AS v FROM sig UNION ALL SELECT _id, _sample, 'Y', Y FROM sig)"
+_RUNS = "SELECT _id, 'artifact' AS _type, min(a)::INT AS _initial, max(z)::INT AS _final, c AS _channel FROM rn GROUP BY _id, c, run"
+
+
+@_query(_sql(_RUNS, _LONG, *_merge("SELECT _id, c, _sample, row_number() OVER w >= 5 AND max(v) OVER r - min(v) OVER r >= 0.5 AS hit FROM l WINDOW w AS (PARTITION BY _id, c ORDER BY _sample), r AS (PARTITION BY _id, c ORDER BY _sample ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", -2, 3)))
+def artif_minmax(spark, d):
+    return artifacts.artif_minmax(dense(spark, d), threshold=0.5, window=5, lim=(-2, 3), unit="samples").events.filter("_type = 'artifact'").select(*_EVENTS)
+
+
+@_query(_sql(_RUNS, _LONG, *_merge("SELECT _id, c, _sample, count(v) OVER p = 2 AND count(v) OVER q = 2 AND abs(avg(v) OVER q - avg(v) OVER p) >= 0.3 AS hit FROM l WINDOW p AS (PARTITION BY _id, c ORDER BY _sample ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), q AS (PARTITION BY _id, c ORDER BY _sample ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)", -3, 3)))
+def artif_step(spark, d):
+    return artifacts.artif_step(dense(spark, d), threshold=0.3, window=3, lim=(-3, 3), unit="samples").events.filter("_type = 'artifact'").select(*_EVENTS)
+
+
+@_query(_sql(_RUNS, _LONG, *_merge("SELECT _id, c, _sample, v <= -0.3 OR v >= 0.25 AS hit FROM l", -1, 1)))
+def artif_amplitude(spark, d):
+    return artifacts.artif_amplitude(dense(spark, d), threshold=(0.25, -0.3), lim=(-1, 1), unit="samples").events.filter("_type = 'artifact'").select(*_EVENTS)
+
+
+@_query()
+def artif_peak(spark, d):
+    return artifacts.artif_peak(dense(spark, d), threshold=0.25, window=4, lim=(-1, 1), unit="samples").events.filter("_type = 'artifact'").select(*_EVENTS)
+
+
+@_query(_sql("SELECT condition, sum(CASE WHEN _id % 2 = 0 THEN 0 ELSE 1 END)::BIGINT AS n FROM seg GROUP BY condition"))
+def complete_cases(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'").count_complete_cases("condition")
+
+
+@_query(_sql("SELECT _recording, count(*) AS n_segments, sum((_id % 2 = 0)::INT)::BIGINT AS n_incomplete FROM seg GROUP BY _recording"))
+def summary_segments(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'").summary()["segments"]
+
+
+@_query(_sql("SELECT _id, (_sample - 1) / 0.5 AS _time, k AS _key, v AS _value, _recording, label, condition FROM (SELECT _id, _sample, 'X' AS k, X AS v FROM sig UNION ALL SELECT _id, _sample, 'Y', Y FROM sig) JOIN seg USING (_id)"))
+def long_table(spark, d):
+    return dense(spark, d).to_long(unit="ms")
+
+
+@_query(_sql("SELECT _id, (max(_sample) - min(_sample) + 1) / 100.0 AS duration FROM st GROUP BY _id"))
+def duration(spark, d):
+    return stream(spark, d).duration()
+
+
+@_query(_sql("SELECT _id, _sample, Y AS eye, X FROM sig"))
+def select_rename(spark, d):
+    return dense(spark, d).select("X", eye="Y").signal.select("_id", "_sample", "eye", "X")
+
+
+@_query(_sql("SELECT k AS _key, round(quantile_cont(v, 0.025) * 1.5, 6) AS low, round(quantile_cont(v, 0.975) * 1.5, 6) AS high FROM (SELECT 'X' AS k, X AS v FROM sig UNION ALL SELECT 'Y', Y FROM sig) GROUP BY k"))
+def plot_limits(spark, d):
+    return topography.plot_limits(dense(spark, d)).select("_key", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@_query()
+def fir_low_pass(spark, d):
+    return _signal(dsp.low_pass(dense(spark, d), freq=60))
+
+
+@_query()
+def iir_band_pass(spark, d):
+    return _signal(dsp.band_pass(dense(spark, d), freq=(20, 80), method="iir"))
+
+
+@_query()
+def downsample(spark, d):
+    return _signal(dsp.downsample(dense(spark, d), q=4))
+
+
+@_query(
+    _sql(
+        "SELECT _id, k * 500.0 / 8 AS _freq, round(avg((re * re + im * im) * CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END) / (500 * (SELECT sum(w * w) FROM w)), 8) AS X FROM f GROUP BY _id, k",
+        "w AS (SELECT i, 0.54 - 0.46 * cos(2 * pi() * i / 7) AS w FROM range(8) t(i))",
+        "c AS (SELECT _id, _sample + 9 AS n, X - avg(X) OVER (PARTITION BY _id) AS x FROM sig)",
+        "f AS (SELECT _id, s, k, sum(x * w * cos(2 * pi() * k * i / 8)) AS re, sum(x * w * sin(2 * pi() * k * i / 8)) AS im FROM c JOIN (SELECT unnest(range(0, 57, 4)) AS s) ON true JOIN w ON n = s + i JOIN (SELECT unnest(range(5)) AS k) ON true GROUP BY _id, s, k)",
+    )
+)
+def psd_welch(spark, d):
+    return spectral.psd(dense(spark, d).select("X")).signal.select("_id", "_freq", F.round("X", 8).alias("X"))
+
+
+@_query()
+def power_bands(spark, d):
+    return _signal(spectral.power_band(dense(spark, d), bands={"low": (0, 125), "high": (125, 250)}, relative=True))
+
+
+@_query()
+def ica_variance(spark, d):
+    return ica.var_table(ica.fit(dense(spark, d), ignore="_type = 'Bad'")).select("_recording", "_ica", _r("var", "var"))
+
+
+@_query()
+def ica_without_first(spark, d):
+    return _signal(ica.keep(ica.fit(dense(spark, d), ignore=None), "-ICA1"))
+
+
+@_query()
+def scalp_map(spark, d):
+    return topography.interpolate_recording(dense(spark, d), ["condition"], points=12)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -322,8 +322,9 @@ class Recording:
             segments = self.segments.join(flat.select("_id").distinct(), "_id", "left_semi")
         elif side:
             ids = flat.select(*side).distinct().withColumn("_id", F.row_number().over(Window.orderBy(*side)).cast("long"))  # as many rows as groups
-            on = reduce(lambda a, b: a & b, [flat[s].eqNullSafe(ids[s]) for s in side])
-            flat = flat.join(F.broadcast(ids), on).select(ids["_id"], *[flat[c] for c in flat.columns])
+            named = ids.select(F.col("_id").alias("_new"), *[F.col(c).alias(f"_s_{c}") for c in side])
+            on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in side])
+            flat = flat.join(named, on).select(F.col("_new").alias("_id"), *flat.columns)
             segments = ids.select("_id", *([] if "_recording" in side else [F.lit(None).cast("string").alias("_recording")]), *side)
         else:
             flat = flat.withColumn("_id", F.lit(1).cast("long"))

@@ -113,7 +113,7 @@ def fit(x: Recording, *channels, ignore: Column | str | None = "_type = 'artifac
 def _centred(x: IcaRecording) -> tuple[DataFrame, list[str]]:
     names = next(iter(x.models.values()))[0]
     means = x.signal.join(x.segments.select("_id", "_recording"), "_id").groupBy("_recording").agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
-    return x.signal.join(x.segments.select("_id", "_recording"), "_id").join(F.broadcast(means), "_recording"), names
+    return x.signal.join(x.segments.select("_id", "_recording"), "_id").join(means, "_recording"), names
 
 
 def _linear(x: IcaRecording, names: list[str], weights: dict[str, np.ndarray], scale: float = 1.0) -> list[Column]:
