@@ -111,7 +111,7 @@ def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'"
                 if kind == "ASCII":
                     lines = bytes(content).decode("latin-1").replace(",", ".").splitlines()[skip[0] :]
                     m = np.array([[float(x) for x in ln.split()[skip[1] :]] for ln in lines if ln.strip()])
-                    m = m if multi else m.T
+                    m = (m if multi else m.T) * scale
                 else:
                     flat = np.frombuffer(bytes(content), _KINDS[kind]).astype(float)
                     m = (flat.reshape(-1, n) if multi else flat.reshape(n, -1).T) * scale
