@@ -57,9 +57,8 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     others = F.array(F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", name, F.split_part(path, F.lit("/"), F.lit(2))).alias("pattern"), F.lit(1000).alias("rank")), F.struct(F.lit("url").alias("kind"), path.alias("pattern"), F.lit(2000).alias("rank")))
     asked = seen.filter("url is not null and fetched_on is not null").withColumn("_name", name).filter("_name is not null").select("page_id", "url", "fetched_on", F.explode(F.concat(parents, others)).alias("k"))
     asked = asked.select("page_id", "url", "fetched_on", "k.kind", "k.pattern", "k.rank", _month(F.col("fetched_on")).alias("month"))
-    last = captures.agg(F.max("fetched_on").alias("last"))
-    # a single row, the end of the open intervals
-    listed = spans.crossJoin(F.broadcast(last)).withColumn("to", F.least(F.coalesce(F.date_sub("until", 1), F.col("last")), F.col("last"))).filter("since <= to")
+    end = F.lit(captures.agg(F.max("fetched_on")).first()[0]).cast("date")  # open intervals end with the last capture
+    listed = spans.withColumn("to", F.least(F.coalesce(F.date_sub("until", 1), end), end)).filter("since <= to")
     listed = listed.select("kind", "pattern", "action", "since", "until", F.explode(F.sequence(_month(F.col("since")), _month(F.col("to")))).alias("month"))
     if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
