@@ -144,6 +144,18 @@ def test_line_dedup_against_brute_force(spark):
     assert len(got) == docs.count() and linededup.clean(docs).schema == docs.schema and linededup.dedup(H.empty(spark)).count() == 0
 
 
+def test_passages_without_stops_are_cut_wherever_they_stand(spark):
+    rng = random.Random(8)
+    passages = [H.sentence(rng, 51) for _ in range(30)]
+    rows = [(i, f"{H.sentence(rng, rng.randrange(1, 40))} {passages[i % 30]} {H.sentence(rng, rng.randrange(1, 40))}", "en", "s", 0) for i in range(120)]
+    out = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, H.SCHEMA)).collect()}
+    assert all(out[i] == rows[i][1] for i in range(30))
+    assert not [i for i in range(30, 120) if passages[i % 30] in out[i]]
+    for i in range(30, 120):  # the words around a passage stay
+        before, after = rows[i][1].split(passages[i % 30])
+        assert out[i].startswith(before.rstrip()) and out[i].endswith(after.lstrip())
+
+
 # -- sharding ----------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("hot", [False, True])
 def test_sharding_is_exact(spark, hot):
