@@ -70,7 +70,49 @@ def _prototype(kind: str, order: int, rp: float, rs: float) -> tuple[np.ndarray,
         z = 1j / c[np.abs(c) > 1e-12]
         p = 1 / (-np.sinh(mu) * np.sin(angle) + 1j * np.cosh(mu) * c)
         return z, p, (np.prod(-p) / np.prod(-z)).real
-    raise ValueError(f"unknown filter {kind!r}: butter, cheby1 or cheby2")
+    if kind == "ellip":
+        return _elliptic(order, rp, rs)
+    raise ValueError(f"unknown filter {kind!r}: butter, cheby1, cheby2 or ellip")
+
+
+def _moduli(k: float) -> list[float]:
+    """Descending Landen moduli below ``k``."""
+    out = []
+    while k > 1e-15:
+        k = (k / (1 + np.sqrt(1 - k * k))) ** 2
+        out.append(k)
+    return out
+
+
+def _ascend(w, k: float):
+    """From sine or cosine of the quarter-period angle to the elliptic sn or cd of modulus ``k``."""
+    for v in reversed(_moduli(k)):
+        w = (1 + v) * w / (1 + v * w * w)
+    return w
+
+
+def _inverse_sn(w: complex, k: float) -> complex:
+    """u with sn(u K, k) = w, in quarter periods."""
+    for v in _moduli(k):
+        w = 2 * w / ((1 + v) * (1 + np.sqrt(1 - (k * w) ** 2 + 0j)))
+        k = v
+    return 2 / np.pi * np.arcsin(w + 0j)
+
+
+def _elliptic(order: int, rp: float, rs: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Equal ripple in both bands; the pass band of ripple ``rp`` dB ends at 1 and the stop band lies ``rs`` dB down."""
+    ripple = np.sqrt(10 ** (rp / 10) - 1)
+    k1 = ripple / np.sqrt(10 ** (rs / 10) - 1)
+    u = (2 * np.arange(1, order // 2 + 1) - 1) / order
+    rest = np.sqrt(1 - k1 * k1)
+    k = np.sqrt(1 - (rest**order * np.prod(_ascend(np.sin(u * np.pi / 2), rest) ** 4)) ** 2)
+    v = (-1j * _inverse_sn(1j / ripple, k1) / order).real
+    z = 1j / (k * _ascend(np.cos(u * np.pi / 2), k))
+    p = 1j * _ascend(np.cos((u - 1j * v) * np.pi / 2), k)
+    z, p = np.concatenate([z, z.conj()]), np.concatenate([p, p.conj()])
+    if order % 2:
+        p = np.append(p, (1j * _ascend(np.sin(1j * v * np.pi / 2), k)).real)
+    return z, p, (np.prod(-p) / np.prod(-z)).real / (1 if order % 2 else 10 ** (rp / 20))
 
 
 def iir(rate: float, low: float | None, high: float | None, kind: str = "butter", order: int | None = None, rp: float = 1.0, rs: float = 40.0) -> list[tuple[np.ndarray, np.ndarray]]:
