@@ -1,12 +1,14 @@
-"""FieldTrip and EEGLAB files, written here byte by byte."""
+"""FieldTrip and EEGLAB files (written here byte by byte), elliptic filters, layouts and component maps."""
 
 import struct
 import zlib
 
 import numpy as np
 import pytest
-from voltra.operators import dsp
-from voltra.sources import matlab
+from pyspark.sql import functions as F
+from voltra.model import Recording
+from voltra.operators import dsp, ica, topography
+from voltra.sources import layout, matlab
 
 
 def element(kind, body):
@@ -104,3 +106,27 @@ def test_elliptic_ripples(order, low, high):
     passes = f <= high if low is None else f >= low if high is None else (f >= low) & (f <= high) if low < high else (f <= high) | (f >= low)
     assert db[passes].min() > -1.001 and db[passes].max() < 1e-6
     assert (db[~passes] < -39.99).mean() > 0.3 and db[np.abs(f - (low or high)) > 60].max() < 1e-6
+
+
+def test_layout_has_the_published_places():
+    places = layout.layout_32_1020()
+    assert len(places) == 34 and [places["F3"][k] for k in ("_x", "_y", "_z")] == [-0.55, 0.67, 0.5] and places["M1"]["_x"] is None
+    assert [places["Oz"][k] for k in ("_x", "_y", "_z")] == pytest.approx([0, -1, 0])
+
+
+def test_component_maps_and_nearest_nodes(spark):
+    rng = np.random.default_rng(5)
+    names = ["Fz", "Cz", "C3", "Pz"]
+    mixed = rng.laplace(size=(400, 4)) @ rng.normal(size=(4, 4))
+    signal = spark.createDataFrame([(1, k + 1, *map(float, v)) for k, v in enumerate(mixed)], "_id long, _sample int, " + ", ".join(f"{n} double" for n in names))
+    every = layout.layout_32_1020()
+    x = ica.fit(Recording.from_df(signal, 100, channels={n: every[n] for n in names}))
+    maps = topography.component_maps(x, points=15)
+    by = maps.groupBy("_ica").agg(F.avg("_value").alias("m"), F.stddev_samp("_value").alias("s"), F.count("_key").alias("n")).collect()
+    assert len(by) == 4 and all(abs(r.m) < 1e-9 and abs(r.s - 1) < 1e-9 and r.n == 4 for r in by)
+    node = topography.topo_data(maps, ["_recording", "_ica"]).toPandas()
+    assert len(node) == maps.filter("_key is null").count()
+    first, places = node[node["_ica"] == node["_ica"].iloc[0]], maps.filter("_key is not null").toPandas().drop_duplicates("_key")
+    for e in places.to_dict("records"):
+        d = np.hypot(first["_x"] - e["_x"], first["_y"] - e["_y"])
+        assert d[first["_key"] == e["_key"]].tolist() == pytest.approx([d.min()])

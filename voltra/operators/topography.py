@@ -6,10 +6,11 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Recording
+from .ica import IcaRecording
 
 
 def polar(x, y, z):
@@ -107,13 +108,41 @@ def interpolate(table: DataFrame, groups: list[str], points: int = 40, radius: f
     return table.groupBy(*groups).applyInPandas(run, schema)
 
 
+def _places(x: Recording, projection: str) -> DataFrame:
+    """_key, _x, _y: one row for each channel with a place."""
+    place = change_coord({c: v for c, v in x.channels.items() if v.get("kind") != "component"}, projection)
+    rows = [(c, v["_x"], v["_y"]) for c, v in place.items() if v.get("_x") is not None]
+    return x.signal.sparkSession.createDataFrame(rows, "_key string, _x double, _y double")
+
+
 def interpolate_recording(x: Recording, groups: list[str], projection: str = "polar", **options) -> DataFrame:
     """Mean of each channel by ``groups``, at its projected place, interpolated."""
-    place = change_coord({c: x.channels[c] for c in x.channel_names}, projection)
-    rows = [(c, v["_x"], v["_y"]) for c, v in place.items() if v.get("_x") is not None]
-    where = x.signal.sparkSession.createDataFrame(rows, "_key string, _x double, _y double")
     means = x.to_long().groupBy(*groups, "_key").agg(F.avg("_value").alias("_value"))
-    return interpolate(means.join(F.broadcast(where), "_key"), groups, **options)
+    return interpolate(means.join(F.broadcast(_places(x, projection)), "_key"), groups, **options)
+
+
+def topo_data(maps: DataFrame, groups: list[str]) -> DataFrame:
+    """The grid of ``interpolate``, with the name of each electrode as _key of the node nearest to it (ties: the lower,
+    then the further left; of electrodes at one node the first by name)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = pdf[pdf["_key"].isna()].sort_values(["_y", "_x"]).reset_index(drop=True)
+        for e in pdf[pdf["_key"].notna()].sort_values("_key", ascending=False).to_dict("records"):
+            grid.loc[int(np.argmin((grid["_x"] - e["_x"]) ** 2 + (grid["_y"] - e["_y"]) ** 2)), "_key"] = e["_key"]
+        return grid[pdf.columns]
+
+    return maps.groupBy(*groups).applyInPandas(run, maps.schema)
+
+
+def component_maps(x: IcaRecording, projection: str = "polar", standardize: bool = True, **options) -> DataFrame:
+    """_recording, _ica, _key, _x, _y, _value: the weights of each component interpolated over the head, and (if
+    ``standardize``) centred and scaled within each map."""
+    m = x.matrices().join(F.broadcast(_places(x, projection)), F.col("_channel") == F.col("_key")).drop("_channel")
+    maps = interpolate(m, ["_recording", "_ica"], **options)
+    own = Window.partitionBy("_recording", "_ica")
+    if not standardize:
+        return maps
+    return maps.withColumn("_value", F.try_divide(F.col("_value") - F.avg("_value").over(own), F.stddev_samp("_value").over(own)))
 
 
 def plot_data(x: Recording, max_sample: int | None = None) -> DataFrame:

@@ -26,3 +26,12 @@ def from_mne(spark: SparkSession, raw, recording: str = "recording1") -> Recordi
     rows += [(1, "artifact", "bad", 1, len(table), c) for c in raw.info.get("bads", []) if c in names]
     segments = spark.createDataFrame([(1, recording, 1)], "_id long, _recording string, segment int")
     return Recording.from_df(spark.createDataFrame(table), rate, spark.createDataFrame(rows, EVENTS), segments, {c: {} for c in names})
+
+
+def read_fif(spark: SparkSession, path: str, recording: str | None = None) -> Recording:
+    """A FIF file through MNE-Python, where that is installed."""
+    try:
+        from mne.io import read_raw_fif
+    except ImportError as e:
+        raise ImportError("FIF files are read through MNE-Python, which is not installed") from e
+    return from_mne(spark, read_raw_fif(path, preload=True), recording or path.rsplit("/", 1)[-1].removesuffix(".fif"))
