@@ -29,8 +29,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in training sequences."""
-    return packing.pack(docs, keep_ids=False)
+    """Pieces of the remaining documents with their token ids and places in training sequences."""
+    return packing.pack(docs)
 
 
 STAGES = [(f.__name__, f) for f in (quality_classifier, ngram_jaccard_join, substring_dedup, benchmark_decontamination, best_fit_packing)]

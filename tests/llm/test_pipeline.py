@@ -13,3 +13,16 @@ def test_stages_keep_their_contract(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == n
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_pipeline_returns_sequences_to_train_on(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, "a few words of text " * (5 + 60 * i)) for i in range(40)] + [(3, "other words")] * 2, "doc_id long, text string")
+    rows = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and len(sequences.setdefault(r.sequence_id, [])) == r.offset
+        sequences[r.sequence_id] += ids
+    assert max(map(len, sequences.values())) <= 4096 and sum(x.count(1) for x in sequences.values()) == 42

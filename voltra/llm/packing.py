@@ -208,13 +208,9 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, keys: tuple[str, ...] = ("d
 def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Pieces with their ids (or only ids_crc32), sequence_id and offset; empty tables give no rows.
 
+    The ids are stored once and move with their rows to the ranks of their size, so repeated rows keep their own.
     With ``keep_ids=False`` the ids are digested as they are made and never move.
     """
     pieces = tokenize(docs, tokenizer_path, seq_len, end_id).withColumn("ids_crc32", F.crc32("ids"))
     stored = stash(pieces if keep_ids else pieces.drop("ids"), "pieces")
-    placed = place(stored.drop("ids"), seq_len)
-    if not keep_ids:
-        return placed
-    # repeated rows have equal ids: one of each suffices
-    ids = stored.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"])
-    return placed.join(ids, ["doc_id", "piece", "ids_crc32"])
+    return place(stored, seq_len)

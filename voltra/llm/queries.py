@@ -13,9 +13,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents packed into sequences of 4096 tokens."""
-    placed = packing.pack(_read(spark, sf_dir, "documents"), keep_ids=False)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Pieces of all documents packed into sequences of 4096 tokens, with a digest of the packed ids."""
+    placed = packing.pack(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
