@@ -156,6 +156,23 @@ def test_passages_without_stops_are_cut_wherever_they_stand(spark):
         assert out[i].startswith(before.rstrip()) and out[i].endswith(after.lstrip())
 
 
+def test_passages_of_short_sentences_and_at_sentence_ends_are_cut(spark):
+    rng = random.Random(9)
+    short = [". ".join(H.sentence(rng, 5) for _ in range(12)) for _ in range(20)]
+    ends = [f"{H.sentence(rng, 22)}. {H.sentence(rng, 22)}" for _ in range(20)]  # <= 25 words a sentence
+    rows = [(i, f"{H.sentence(rng, 8)}. {short[i]}. {H.sentence(rng, 9)}\n{H.sentence(rng, 8)}. {ends[i]}. {H.sentence(rng, 7)}", "en", "s", 0) for i in range(20)]
+    rows += [(i + 100, f"{H.sentence(rng, 8)} {short[i]} {H.sentence(rng, 9)}\n{H.sentence(rng, 30)} {ends[i]} {H.sentence(rng, 30)}", "en", "s", 0) for i in range(20)]
+    out = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, H.SCHEMA)).collect()}
+    assert all(out[i] == rows[i][1] for i in range(20))
+    left = [[len(set(out[i + 100].split()) & set(p[i].replace(".", "").split())) for i in range(20)] for p in (short, ends)]
+    assert max(left[0]) < 50 and np.mean(left[0]) < 30 and max(left[1]) < 42 and np.mean(left[1]) < 27
+
+
+def test_a_sentence_after_signs_is_not_its_own_repeat(spark):
+    text = "... one two three four five six seven"
+    assert linededup.dedup(spark.createDataFrame([(1, text, "en", "s", 0)], H.SCHEMA)).first().text == text
+
+
 # -- sharding ----------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("hot", [False, True])
 def test_sharding_is_exact(spark, hot):

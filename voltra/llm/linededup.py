@@ -1,11 +1,11 @@
-"""Substring dedup by hashing lines, the sentences inside them and the pieces of long sentences.
+"""Substring dedup by hashing lines, the sentences inside them and content-defined pieces of their words.
 
 Units are normalised (lower-cased words, everything between words ignored) and digested to 128 bits. Digests are
 grouped globally, the occurrence of the smallest doc_id (there, the first in the text) stays, and every other
 occurrence is cut. Sentences are units of their own because a passage that was pasted into a line shares no whole
-line with its source. Sentences of more than LONG_SENTENCE words are cut further, before each word whose hash is the
-smallest among PIECE_RADIUS neighbours on both sides: such cuts follow the words alone, so a passage without stops is
-cut alike wherever it stands, and its inner pieces meet. Offsets of what was cut refer to the original text.
+line with its source. The words of a line are also cut into pieces, before each word whose hash is the smallest among
+PIECE_RADIUS neighbours on both sides: such cuts follow the words alone, whatever the stops, so a passage is cut alike
+wherever it stands, and its inner pieces meet. Offsets of what was cut refer to the original text.
 """
 
 from __future__ import annotations
@@ -22,22 +22,20 @@ from ._shared import by_bytes, stash, string_bytes
 #: Shorter lines and sentences occur in unrelated texts by chance and are no units.
 MIN_LINE_WORDS = 3
 MIN_SENTENCE_WORDS = 6
-LONG_SENTENCE = 25
 PIECE_RADIUS = 5
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
-def _cuts(h: np.ndarray, sentence: np.ndarray, radius: int = PIECE_RADIUS) -> np.ndarray:
-    """Words that start a piece: local minima of ``h`` at least ``radius`` words inside a long sentence."""
+def _cuts(h: np.ndarray, line: np.ndarray, radius: int = PIECE_RADIUS) -> np.ndarray:
+    """Words that start a piece: local minima of ``h`` at least ``radius`` words inside a line."""
     if len(h) <= 2 * radius:
         return np.zeros(0, np.int64)
     least = np.lib.stride_tricks.sliding_window_view(h, radius).min(axis=1)
     at = np.arange(radius, len(h) - radius)
-    long = np.bincount(sentence)[sentence[at]] > LONG_SENTENCE
-    inside = (sentence[at - radius] == sentence[at]) & (sentence[at + radius] == sentence[at])
-    return at[long & inside & (h[at] < least[at - radius]) & (h[at] < least[at + 1])]
+    inside = (line[at - radius] == line[at]) & (line[at + radius] == line[at])
+    return at[inside & (h[at] < least[at - radius]) & (h[at] < least[at + 1])]
 
 
 class Units:
@@ -53,8 +51,8 @@ class Units:
         if not len(h):
             return
         found = []
-        pieces = np.union1d(sentences, s[_cuts(h, np.searchsorted(sentences, s, side="right") - 1)])
-        for marks, outer, least in ((lines, None, min_line), (sentences, lines, min_sentence), (pieces, sentences, min_sentence)):
+        pieces = np.union1d(lines, s[_cuts(h, np.searchsorted(lines, s, side="right") - 1)])
+        for marks, inner, least in ((lines, False, min_line), (sentences, True, min_sentence), (pieces, True, min_sentence)):
             of = np.searchsorted(marks, s, side="right") - 1
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             n = np.diff(np.append(first, len(of)))
@@ -65,13 +63,13 @@ class Units:
             unit = of[first]
             start, end = marks[unit], np.append(marks, len(raw))[unit + 1]
             ok = n >= least
-            if outer is not None:  # without the newline that ends the line; a unit that is its whole outer unit is that one
-                around = np.searchsorted(outer, start, side="right") - 1
-                whole = (start == outer[around]) & (end == np.append(outer, len(raw))[around + 1])
+            if inner:  # without the newline that ends the line
                 end = end - ((end > start) & (raw[np.maximum(end - 1, 0)] == 10))
-                ok &= ~whole
-            found.append([x[ok] for x in (row[first], start, end, d1, d2)])
-        row, start, end, d1, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append([x[ok] for x in (row[first], start, end, d1, d2, first, n)])
+        row, start, end, d1, d2, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        # a unit of the words of another is that one (the line before the sentence, the sentence before the piece)
+        one = np.sort(np.unique(first * (len(h) + 1) + n, return_index=True)[1])
+        row, start, end, d1, d2 = (x[one] for x in (row, start, end, d1, d2))
         order = np.lexsort((-end, start, row))
         self.row, self.start, self.end, self.d1, self.d2 = row[order], start[order], end[order], d1[order], d2[order]
 
