@@ -67,6 +67,29 @@ def test_tool_calls(spark):
     assert toolchat.link(*toolchat.from_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")), toolchat.REPLY_SCHEMA).count() == 0
 
 
+def test_every_turn_of_a_chat_has_a_row(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 1, "user", "Hi"), (1, 3, "tool", "{}"), (1, 4, None, "?"), (None, 1, "user", "x"), (2, 0, "user", None), (2, 0, "user", "y"), (1, 0, "system", "be kind"), (3, 1, "assistant", None), (3, 1, "assistant", "z")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = toolchat.chat(docs).collect()
+    want = toolchat.link(*toolchat.from_turns(docs), toolchat.REPLY_SCHEMA)
+    assert sorted(map(repr, got)) == sorted(map(repr, [*want.collect(), *(r for r in got if r.call_id is None)]))
+    texts, kinds = [], collections.Counter()
+    for r in got:
+        x = json.loads(r.record)
+        if r.call_id is None:
+            kinds[r.status] += 1
+            texts.append((x["conversation"], x["turn"], x["role"], x["text"]))
+        else:
+            conv, t = map(int, r.call_id.split("-"))
+            if r.status != "orphan":
+                texts.append((conv, t, "user", x["arguments"].get("prompt")))
+            if r.status != "unanswered":
+                texts.append((conv, t + 1, "assistant", x["result"]))
+    assert sorted(texts, key=repr) == sorted(set(rows), key=repr)
+    assert kinds == {"turn": 3, "repeated": 4, "unplaced": 1}
+    assert toolchat.chat(docs.limit(0)).count() == 0
+
+
 def test_levels_of_long_chains_and_cycles(spark):
     rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "gone")]
     got = dict(toolchat.levels(spark.createDataFrame(rows, "call_id string, waits_for string")).collect())

@@ -24,6 +24,11 @@ def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolchat.link(calls, results, toolchat.REPLY_SCHEMA)
 
 
+def op2_whole_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op2_tool_call_linking, whose SQL has calls and results only, and one for every other turn."""
+    return toolchat.chat(_read(spark, sf_dir, "conversations"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return jaccard.join(_read(spark, sf_dir, "documents"))
@@ -91,7 +96,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_best_fit_packing, op2_tool_call_linking, op3_ngram_jaccard_join, op4_substring_dedup, op5_histogram_sort_sharding, op6_license_scan, op7_benchmark_decontamination, op8_quality_classifier, op9_url_filter, op10_nearest_neighbours)
+    named = (op1_best_fit_packing, op2_tool_call_linking, op2_whole_chats, op3_ngram_jaccard_join, op4_substring_dedup, op5_histogram_sort_sharding, op6_license_scan, op7_benchmark_decontamination, op8_quality_classifier, op9_url_filter, op10_nearest_neighbours)
     return {f.__name__: f for f in named}
 
 

@@ -110,3 +110,36 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = turns.filter("role = 'user'").select("conv_id", "turn", call_id(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), call_id(2).alias("waits_for"))
     results = turns.filter("role = 'assistant'").select("conv_id", "turn", call_id(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def chat(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, call_id, level, status, valid, errors, record: the rows of ``link`` and a row for every other turn.
+
+    A turn that is no part of a linked record keeps its role and text in a record of its own. Its status is turn (a
+    role other than user and assistant), repeated (another text under the conversation, turn and role of a call or
+    result that counts) or unplaced (no conversation or turn); call_id, level, valid and errors are null. Equal rows are one.
+    """
+    linked = link(*from_turns(conversations), REPLY_SCHEMA)
+    turns = conversations.select("conv_id", "turn", "role", "text").distinct()
+    talks = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    # as in ``link``: of repeated calls the least JSON counts, of repeated results the least text, null first
+    prompt = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
+    order = F.when(F.col("role") == "user", prompt).otherwise(F.col("text"))
+    placed = turns.filter("conv_id is not null and turn is not null").filter(talks)
+    first = placed.groupBy("conv_id", "turn", "role").agg(F.min(F.struct(order.alias("o"))).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = placed.withColumn("o", order).join(first, ["conv_id", "turn", "role"]).filter(~F.col("o").eqNullSafe(F.col("f.o")))
+    columns = ["conv_id", "turn", "role", "text"]
+    unplaced = turns.filter("conv_id is null or turn is null").select(*columns, F.lit("unplaced").alias("status"))
+    other = turns.filter("conv_id is not null and turn is not null").filter(~talks).select(*columns, F.lit("turn").alias("status"))
+    rows = other.union(unplaced).union(repeated.select(*columns, F.lit("repeated").alias("status")))
+
+    names = linked.columns
+
+    def write(batches):
+        for b in batches:
+            record = [canonical({"conversation": c, "role": r, "status": s, "text": x, "turn": t}) for c, t, r, x, s in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)]
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), b.column(4), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(record, pa.string())], names=names)
+
+    kinds = dict(rows.dtypes)
+    return linked.union(rows.mapInArrow(write, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, call_id string, level long, status string, valid boolean, errors string, record string"))
