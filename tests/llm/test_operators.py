@@ -224,6 +224,12 @@ def test_licence_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_without_key_terms_have_rows(spark):
+    lines = ["Distributed under the terms of the GNU GPL, version 3", "Released under MIT", "Available under CC-BY-NC 4.0", "Apache-2.0", "Sie kam mit der Bahn in die Stadt", "the end of the day", "", "x"]
+    got = {r.doc_id: r.family for r in licences.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[2] == "cc-by-nc" and got[3] == "apache"
+
+
 # -- decontamination ---------------------------------------------------------------------------------------------
 def _hits(docs, items):
     windows = collections.defaultdict(set)

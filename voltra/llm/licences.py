@@ -2,7 +2,7 @@
 
 A sparse multinomial logistic regression over word uni- and bigrams is fitted on perturbed template sentences and on
 an unknown class; its temperature is calibrated on perturbations it has not seen. Paragraphs (lines) that hold a key
-term are cut into n-grams, joined to the weight table (its size is that of the templates' vocabulary), summed per
+term or a word pair of a template are cut into n-grams, joined to the weight table (its size is that of the templates' vocabulary), summed per
 paragraph and turned into calibrated probabilities. A family is reported only if the paragraph also resembles one of
 that family's templates; everything else is unknown.
 """
@@ -32,7 +32,7 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
     "proprietary": ["Copyright. All rights reserved", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential"],
 }
-#: A licence statement has at least one of these terms (lower case); other paragraphs are not looked at further.
+#: A paragraph with one of these terms (lower case) always has a row; others if the model sees a licence in them.
 KEY_TERMS = ["licen", "copyright", "permission is hereby", "redistribut", "public domain", "creative commons", "cc by", "cc0", "rights reserved", "proprietary"]
 #: Ordinary sentences with the key terms, for the unknown class.
 UNKNOWN = ["the driver lost his licence after the accident in the city", "a fishing license is required on the lake in spring", "copyright law was discussed in parliament for the first time", "permission is hereby requested to enter the garden", "the grain was redistributed among the villages", "the letters are old and the paintings are in the public domain of memory", "licensed professionals repaired the roof of the school", "she has a proprietary interest in the outcome of the vote"]
@@ -114,8 +114,10 @@ def _table(spark, rows: list[dict], schema: str) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0), n_words, family, probability, resemblance of every paragraph with a key term.
+    """doc_id, paragraph (from 0), n_words, family, probability, resemblance of every paragraph with a licence.
 
+    That is a paragraph with a key term, or one that the model gives to a family with the least probability and that
+    shares a word pair with a template of that family. A paragraph is one line.
     family is ``unknown`` where no family reaches the least probability and resemblance. Null and empty texts have no
     paragraphs; each repeated row is scanned (rows equal in doc_id and paragraph text are one).
     """
@@ -124,14 +126,18 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     low = F.lower("line")
     some = functools.reduce(lambda a, b: a | b, [low.contains(t) for t in KEY_TERMS])
-    found = lines.filter(some).distinct().withColumn("w", F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    split = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+    paired = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    known = F.array(*[F.lit(g) for g in sorted({g for s in TEMPLATES.values() for x in s for g in ngrams(words(x)) if " " in g})])
+    shares = F.exists(F.array(split), lambda w: F.arrays_overlap(paired(w), known))  # the words are bound once
+    found = lines.filter(some | shares).distinct().withColumn("w", split)
+    pairs = paired(F.col("w"))
     found = found.withColumn("two", F.when(F.size("w") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>")))
     # vocabulary of the templates: a proven bound
     table = F.broadcast(_table(spark, [{"g": g, "v": v} for g, v in weights.items()], "g string, v array<double>"))
     grams = found.select("doc_id", "paragraph", "line", F.explode(F.concat(F.array_distinct("w"), F.col("two"))).alias("g")).join(table, "g")
     sums = grams.groupBy(F.col("doc_id").alias("_d"), F.col("paragraph").alias("_p"), F.col("line").alias("_l")).agg(*[F.sum(F.get("v", F.lit(i))).alias(f"z{i}") for i in range(len(classes))])
-    scored = found.join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("paragraph") == F.col("_p")) & (F.col("line") == F.col("_l")), "left").select("doc_id", "paragraph", "w", "two", F.array(*[F.struct((F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.lit(intercepts[i])).alias("z"), F.lit(c).alias("c")) for i, c in enumerate(classes)]).alias("z"))
+    scored = found.join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("paragraph") == F.col("_p")) & (F.col("line") == F.col("_l")), "left").select("doc_id", "paragraph", "w", "two", some.alias("term"), F.array(*[F.struct((F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.lit(intercepts[i])).alias("z"), F.lit(c).alias("c")) for i, c in enumerate(classes)]).alias("z"))
     top = F.array_max("z")
     share = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - top["z"]))
     # resemblance to the nearest template of the family predicted: bigrams in common, of the shorter of the two
@@ -141,6 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
             two = sorted({g for g in ngrams(words(s)) if " " in g})
             common = F.size(F.array_intersect("two", F.array(*[F.lit(g) for g in two])))
             like = F.greatest(like, F.when(F.col("c") == family, common / F.greatest(F.least(F.size("two"), F.lit(len(two))), F.lit(1))).otherwise(0.0))
-    out = scored.select("doc_id", "paragraph", F.size("w").alias("n_words"), "two", top["c"].alias("c"), F.round(1 / share, 6).alias("probability")).withColumn("resemblance", F.round(like, 6))
+    out = scored.select("doc_id", "paragraph", F.size("w").alias("n_words"), "two", "term", top["c"].alias("c"), F.round(1 / share, 6).alias("probability")).withColumn("resemblance", F.round(like, 6))
+    out = out.filter(F.col("term") | (F.col("c") != UNKNOWN_CLASS) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("resemblance") > 0))
     sure = (F.col("c") != UNKNOWN_CLASS) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("resemblance") >= MIN_RESEMBLANCE)
     return out.select("doc_id", "paragraph", "n_words", F.when(sure, F.col("c")).otherwise(UNKNOWN_CLASS).alias("family"), "probability", "resemblance")
