@@ -340,3 +340,40 @@ def test_neighbours_recall_ties_and_odd_vectors(spark, monkeypatch):
 
 def test_canonical_json():
     assert toolchat.canonical({"b": [1, "é"], "a": None}) == json.dumps({"a": None, "b": [1, "é"]}, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_jaccard_join_keeps_texts_apart_that_share_an_id_or_have_none(spark):
+    rng = random.Random(11)
+    a, b = H.sentence(rng, 60), H.sentence(rng, 60)
+    rows = [(1, a), (1, b), (2, b + " x"), (None, a + " y"), (None, b), (3, a), (3, a), (None, "u v w"), (None, "u v w"), (4, ""), (4, ""), (5, None)]
+    full = [(i, t, "en", "s", 0) for i, t in rows]
+    texts = [r[1] or "" for r in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := H.words(t)) else set() for t in texts]
+    linked = lambda i, j: bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    n = [sum(linked(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
+    low = {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: None, 8: None, 9: 4, 10: 4, 11: 5}  # texts a (3 and 1), b (1 and 2)
+    want = sorted(((r[0], low[i], n[i]) for i, r in enumerate(rows)), key=repr)
+    for order in (full, full[::-1]):
+        docs = spark.createDataFrame(order, H.SCHEMA).repartition(3)
+        assert sorted(map(tuple, jaccard.join(docs).collect()), key=repr) == want
+        for c in ("_gone", "row", "kept"):
+            kept = jaccard.keep_one(spark.createDataFrame(order, H.SCHEMA).withColumn(c, F.lit(1)))
+            assert kept.columns[-1] == c
+            assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(_kept_of(spark, rows, linked), key=repr)
+
+
+def _kept_of(spark, rows, linked):
+    """One row of each class: the smallest id (null last), then the smallest digest of the text."""
+    th = [r[0] for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "i int, t string").orderBy("i").select(F.xxhash64("t")).collect()]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if linked(i, j):
+                up = [up[j] if u == up[i] else u for u in up]
+    words = [bool(H.words(t)) for _, t in rows]
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        if words[i]:
+            k = (d is None, d or 0, th[i])
+            best[up[i]] = min(best.get(up[i], (k, i)), (k, i))
+    return [rows[i] for _, i in best.values()] + [r for r, w in zip(rows, words, strict=True) if not w]

@@ -63,12 +63,13 @@ def _bucket_keys(run: int, values: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int = GRAM_WORDS) -> DataFrame:
-    """doc_id, s1, s2 (digest of the set), size, sig (minimum of each sampled hash, 32 bits each) of every row."""
+    """rid, doc_id, th (digest of the text), s1, s2 (digest of the set), size, sig (minimum of each sampled hash, 32 bits
+    each) of every row. Row numbers hold for the stored table only."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for b in by_bytes(batches, limit=1 << 19):
-                tokens, bounds = _sets(b.column(1), k)
+                tokens, bounds = _sets(b.column(3), k)
                 n = b.num_rows
                 size = np.diff(bounds)
                 some = np.flatnonzero(size)
@@ -83,13 +84,13 @@ def profiles(docs: DataFrame, k: int = GRAM_WORDS) -> DataFrame:
                     s1[some] = np.add.reduceat(tv.mix(tokens), at)
                     s2[some] = np.add.reduceat(tv.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), at)
                 flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (4 * SIGNATURE)), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size, pa.int32()), flat], names=["doc_id", "s1", "s2", "size", "sig"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size, pa.int32()), flat], names=schema.names)
 
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("s1 long, s2 long, size int, sig binary").fields])
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("rid", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string("th long, s1 long, s2 long, size int, sig binary").fields])
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """rep, label: the smallest rep of each connected component, by hooking to the smallest neighbour and halving paths.
 
     Only nodes that have an edge are returned. Every step is written to the shared folder.
@@ -232,45 +233,74 @@ def _verify(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     return rows.groupBy("grp", "x", "y").applyInPandas(exact, "kind int, a long, b long")
 
 
-def join(docs: DataFrame, k: int = GRAM_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links of every row of ``docs``.
+def _classes(docs: DataFrame, k: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): a stored row rid, doc_id, th, s1, s2, size for each of ``docs``, and rep, low, weight, label, more of
+    each distinct set.
 
-    A link is a pair of rows whose k-gram sets have a Jaccard similarity of at least ``threshold``; classes are the
-    connected components of the links and named by their smallest doc_id; n_links counts the other rows linked to
-    this one. Texts without a word (null, empty, only signs) have no set and no link. A text of fewer than k words
-    is one gram. Rows that repeat a doc_id count as copies of one another only if their sets are equal.
+    Every row has a number of its own (rid) and a set is named by the least of its rows (rep), so neither repeated nor
+    null ids of documents can stand for several texts. ``low`` is the smallest doc_id with the set, ``more`` the rows of
+    other sets linked to it, ``label`` the rep that names its component.
     """
     spark = docs.sparkSession
     base = stash(profiles(docs, k), "profiles")
     runs = max(2, math.ceil(math.log(1 - recall) / math.log(1 - threshold)) + 1)
     some = base.filter("size > 0")
-    copies = stash(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "copies")
-    many = stash(copies.filter("weight > 1"), "many")
-    sigs = stash(some.join(copies.select("s1", "s2", F.col("rep").alias("doc_id"), "weight"), ["s1", "s2", "doc_id"]).dropDuplicates(["s1", "s2"]).select(F.col("doc_id").alias("rep"), "weight", "size", "sig"), "sigs").dropDuplicates(["rep"])
+    copies = stash(some.groupBy("s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("weight")), "copies")
+    sigs = stash(base.join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("rep"), "doc_id", "th", "sig"), "sigs")
 
     def roots(which: range) -> DataFrame:
         keys = F.array(*[F.xxhash64(F.lit(r), F.substring(F.col("sig"), 4 * r + 1, 4)) for r in which])
         return sigs.select("rep", F.explode(keys).alias("bucket"))
 
     found = stash(_split(spark, roots(range(1)), sigs, threshold, None), "likely")
-    labels = components(sigs, found, "labels")
+    labels = components(found, "labels")
     more = stash(_split(spark, roots(range(1, runs)), sigs, threshold, labels), "likely")
-    labels = components(sigs, found.union(more), "labels")
-    # groups of likely links, verified exactly
-    members = labels.select("rep", F.col("label").alias("grp")).join(sigs.select("rep", "weight"), "rep")
-    text = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    checked = stash(_verify(text.join(members, "rep").dropDuplicates(["rep"]), k, threshold), "checked")
+    labels = components(found.union(more), "labels")
+    # groups of likely links, verified exactly; the text of a set is that of its rep, found by id and digest
+    members = labels.select("rep", F.col("label").alias("grp")).join(sigs.select("rep", "doc_id", "th"), "rep").join(copies.select("rep", "weight"), "rep")
+    text = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = text.join(members, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("grp", "rep", "weight", "text").dropDuplicates(["rep"])
+    checked = stash(_verify(texts, k, threshold), "checked")
     linked = checked.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("more"))
-    classes = components(sigs, checked.filter("kind = 1").select("a", "b"), "classes")
-    per_rep = stash(linked.join(classes, "rep", "full").withColumnRenamed("rep", "rep_id"), "per-rep")
-    owner = base.select("doc_id", "s1", "s2", "size").join(many, ["s1", "s2"], "left").withColumn("rep_id", F.coalesce("rep", "doc_id"))
-    out = owner.join(per_rep, "rep_id", "left")
-    real = F.col("size") > 0
-    return out.select("doc_id", F.when(real, F.coalesce("label", "rep_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(real, F.coalesce(F.col("weight") - 1, F.lit(0)) + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class (that of the smallest doc_id); columns as they are. Texts without words all stay."""
-    classes = join(docs, **options)
-    gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    classes = components(checked.filter("kind = 1").select("a", "b"), "classes")
+    sets = copies.join(linked, "rep", "left").join(classes, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    return base, stash(sets, "distinct-sets")
+
+
+def join(docs: DataFrame, k: int = GRAM_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links of every row of ``docs``.
+
+    A link is a pair of rows whose k-gram sets have a Jaccard similarity of at least ``threshold``; classes are the
+    connected components of the links and named by their smallest doc_id (null where all its ids are); n_links counts
+    the other rows linked to this one. Texts without a word (null, empty, only signs) have no set and no link. A text of
+    fewer than k words is one gram. Links are between rows: a doc_id that several texts share, or none, joins nothing.
+    """
+    base, sets = _classes(docs, k, threshold, recall)
+    named = sets.groupBy("label").agg(F.min("low").alias("class_id"))
+    # only sets with links or copies have something to say, so the hot join is against few rows
+    told = sets.filter("weight > 1 or more is not null").join(named, "label").select("s1", "s2", "class_id", "weight", "more")
+    out = base.select("doc_id", "s1", "s2", "size").join(told, ["s1", "s2"], "left")
+    known = (F.col("size") > 0) & F.col("weight").isNotNull()
+    return out.select("doc_id", F.when(known, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(known, F.col("weight") - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, k: int = GRAM_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class, of the smallest doc_id (null last), then the smallest digest of its text; columns as they are.
+
+    Of rows equal in both, one stays. Texts without words are in no class and all stay. ``docs`` must give the same rows
+    each time it is read.
+    """
+    base, sets = _classes(docs, k, threshold, recall)
+    several = sets.filter("weight > 1 or more is not null").select("s1", "s2", "label")
+    seen = base.filter("size > 0").join(several, ["s1", "s2"]).groupBy("label", "doc_id", "th").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = seen.groupBy(F.col("label").alias("l")).agg(F.min(order).alias("f"))
+    # rows that go (kept false), and those of which one of n equal ones stays
+    marks = stash(seen.join(first, F.col("label") == F.col("l")).select("doc_id", "th", "n", order.eqNullSafe(F.col("f")).alias("kept")).filter("not kept or n > 1"), "marks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumns({"id": F.col("row.doc_id"), "th": F.xxhash64("row.text")})
+    key = marks.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "kept").hint("merge")
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    out = rows.join(key, same, "left_anti").select("row.*")
+    if marks.filter("kept").head(1):  # a second pass over the rows only where some are repeated
+        out = out.union(rows.join(key.filter("kept"), same, "left_semi").dropDuplicates(["id", "th"]).select("row.*"))
+    return out
