@@ -90,9 +90,30 @@ def test_every_turn_of_a_chat_has_a_row(spark):
     assert toolchat.chat(docs.limit(0)).count() == 0
 
 
+def test_identifiers_belong_to_a_conversation(spark):
+    calls = spark.createDataFrame([(1, 0, "c1", "reply", '{"prompt":"a","turn":0}', None), (2, 0, "c1", "reply", '{"prompt":"b","turn":0}', None), (None, 3, "c1", "reply", "{", None)], "conv_id long, turn long, call_id string, name string, arguments string, waits_for string")
+    results = spark.createDataFrame([(1, 1, "c1", "x"), (2, 1, "c1", "y"), (3, 1, "c1", "z")], "conv_id long, turn long, call_id string, content string").withColumn("level", F.lit("extra"))
+    got = {r.conv_id: (r.status, r.level, r.valid, json.loads(r.record)["result"]) for r in toolchat.link(calls.withColumn("k", F.lit(1)), results, toolchat.REPLY_SCHEMA).collect()}
+    assert got == {1: ("linked", 0, True, "x"), 2: ("linked", 0, True, "y"), 3: ("orphan", None, None, "z"), None: ("unanswered", 0, False, None)}
+
+
+def test_levels_of_calls_with_several_prerequisites(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for conv in (1, 2):
+        for i in range(60):
+            up = rng.sample(range(max(0, i - 8), i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))
+            rows.append((conv, f"c{i}", [f"c{j}" for j in up] + ["gone"]))
+            want[conv, f"c{i}"] = max((want[conv, f"c{j}"] + 1 for j in up), default=0)
+    rows += [(3, "x", ["y", "z"]), (3, "y", ["x"]), (3, "z", []), (3, "w", ["x"]), (3, "v", None), (3, "s", ["s"])]
+    want |= {(3, "x"): None, (3, "y"): None, (3, "z"): 0, (3, "w"): None, (3, "v"): 0, (3, "s"): None}
+    got = toolchat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, waits_for array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want and len(got) == len(want)
+
+
 def test_levels_of_long_chains_and_cycles(spark):
     rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "gone")]
-    got = dict(toolchat.levels(spark.createDataFrame(rows, "call_id string, waits_for string")).collect())
+    got = {r.call_id: r.level for r in toolchat.levels(spark.createDataFrame([(1, *r) for r in rows], "conv_id long, call_id string, waits_for string")).collect()}
     assert all(got[f"c{i}"] == i for i in range(40)) and got["z"] == 0 and got["x"] is None and got["y"] is None
     assert toolchat.violations({"a": 1, "b": [True]}, {"properties": {"a": {"type": "string"}, "b": {"type": "array", "items": {"type": "integer"}}}, "required": ["c"]}) == ["$.c: missing", "$.a: not string", "$.b[0]: not integer"]
 

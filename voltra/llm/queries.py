@@ -19,13 +19,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls and results of all conversations, linked, levelled, validated and serialised."""
-    calls, results = toolchat.from_turns(_read(spark, sf_dir, "conversations"))
-    return toolchat.link(calls, results, toolchat.REPLY_SCHEMA)
-
-
-def op2_whole_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of op2_tool_call_linking, whose SQL has calls and results only, and one for every other turn."""
+    """Calls and results of all conversations, linked, levelled, validated and serialised, and a row for every other turn."""
     return toolchat.chat(_read(spark, sf_dir, "conversations"))
 
 
@@ -96,7 +90,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_best_fit_packing, op2_tool_call_linking, op2_whole_chats, op3_ngram_jaccard_join, op4_substring_dedup, op5_histogram_sort_sharding, op6_license_scan, op7_benchmark_decontamination, op8_quality_classifier, op9_url_filter, op10_nearest_neighbours)
+    named = (op1_best_fit_packing, op2_tool_call_linking, op3_ngram_jaccard_join, op4_substring_dedup, op5_histogram_sort_sharding, op6_license_scan, op7_benchmark_decontamination, op8_quality_classifier, op9_url_filter, op10_nearest_neighbours)
     return {f.__name__: f for f in named}
 
 
@@ -136,6 +130,15 @@ SELECT conv_id, turn, call_id, level, status,
   '{"arguments":' || CASE WHEN called THEN '{"prompt":' || to_json(prompt)::VARCHAR || ',"turn":' || turn || '}' ELSE 'null' END || ',"id":"' || call_id || '","level":' || coalesce(level::VARCHAR, 'null')
     || ',"name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS record
 FROM k
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, status, NULL, NULL,
+  '{"conversation":' || coalesce(to_json(conv_id)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"status":"' || status
+    || '","text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}'
+FROM (
+  SELECT DISTINCT conv_id, turn, role, text, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 'unplaced' WHEN role IN ('user', 'assistant') THEN 'repeated' ELSE 'turn' END AS status
+  FROM conversations
+  WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant')
+    OR text IS DISTINCT FROM (SELECT text FROM t WHERE t.conv_id = conversations.conv_id AND t.turn = conversations.turn AND t.role = conversations.role))
 """
 
 _OP9 = r"""

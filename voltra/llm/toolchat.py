@@ -1,7 +1,7 @@
 """Chat formatting with linked tool calls.
 
-Calls and results meet by a hash join on their identifier, calls are put into topological order by pointer doubling
-(a level is the number of calls a call waits for, one after the other), arguments are validated against the schema
+Calls and results meet by a hash join on conversation and identifier, calls are put into topological order (a level is
+the longest chain of calls a call waits for; chains are walked by pointer doubling), arguments are validated against the schema
 of the tool, and each linked record is written as canonical JSON (sorted keys, no spaces, shortest escapes).
 """
 
@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import stash
 
@@ -50,37 +51,65 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _waits(calls: DataFrame) -> Column:
+    """``waits_for`` as an array, whether it names one call or several."""
+    if isinstance(calls.schema["waits_for"].dataType, T.ArrayType):
+        return F.coalesce("waits_for", F.array().cast("array<string>"))
+    return F.when(F.col("waits_for").isNull(), F.array().cast("array<string>")).otherwise(F.array("waits_for"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """call_id, level: how many calls come before, following ``waits_for``; null where the chain is a cycle.
+    """conv_id, call_id, level of each call: the longest chain of calls it waits for; null on and behind cycles.
 
-    Chains are halved each round, so a conversation of n calls takes log2 n joins on identifiers; no conversation is
-    gathered. A ``waits_for`` that names no call counts as none.
+    ``waits_for`` (one identifier or an array) names calls of the same conversation; names of no call count as none.
+    Repeated calls wait for what any of them waits for. Runs of calls that wait for one call each are walked by pointer
+    doubling, so a chain of n calls takes log2 n joins on identifiers; calls that wait for several are then levelled a
+    round for each such call on the deepest path. No conversation is gathered.
     """
-    ids = calls.select("call_id").distinct()
-    known = calls.groupBy("call_id").agg(F.min("waits_for").alias("up"))
-    known = known.join(ids.select(F.col("call_id").alias("up"), F.lit(True).alias("real")), "up", "left")
-    step = stash(known.select("call_id", F.when(F.col("real"), F.col("up")).alias("up"), F.when(F.col("real"), 1).otherwise(0).cast("long").alias("level")), "levels")
-    rounds, most = 0, max(2, step.count()).bit_length() + 1
-    while rounds <= most and step.filter("up is not null").head(1):
-        above = step.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
-        step = stash(step.join(above, "up", "left").select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
-        rounds += 1
-    return step.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    node = F.struct("conv_id", "call_id").alias("k")
+    asked = calls.filter("call_id is not null").select(node, _waits(calls).alias("w"))
+    nodes = asked.select("k").distinct()
+    edges = asked.select("k", F.explode("w").alias("w")).select("k", F.struct(F.col("k.conv_id").alias("conv_id"), F.col("w").alias("call_id")).alias("up")).distinct()
+    edges = stash(edges.join(nodes.select(F.col("k").alias("up")), "up", "left_semi"), "waits")
+    alone = edges.groupBy("k").agg(F.count("*").alias("n"), F.min("up").alias("one"))
+    start = nodes.join(alone, "k", "left")
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    step = stash(start.select("k", F.when(single, F.col("one")).otherwise(F.col("k")).alias("at"), single.cast("long").alias("dist"), (~single).alias("done"), F.coalesce("n", F.lit(0)).alias("n")), "levels")
+    for _ in range(max(2, step.count()).bit_length() + 1):
+        if not step.filter("not done").head(1):
+            break
+        above = step.select(F.col("k").alias("at"), F.col("at").alias("at2"), F.col("dist").alias("more"), F.col("done").alias("done2"))
+        step = stash(step.join(above, "at").select("k", F.col("at2").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), F.col("done2").alias("done"), "n"), "levels")
+    known = step.filter("n = 0").select("k", F.lit(0).cast("long").alias("level"))
+    joints = edges.join(step.filter("n > 1").select("k"), "k", "left_semi").join(step.select(F.col("k").alias("up"), "at", "dist", "done"), "up")
+    while True:
+        reach = joints.join(known.select(F.col("k").alias("at"), "level"), "at", "left").groupBy("k")
+        ready = reach.agg(F.bool_and(F.col("done") & F.col("level").isNotNull()).alias("ok"), (F.max(F.col("dist") + F.col("level")) + 1).alias("level")).filter("ok").select("k", "level")
+        fresh = stash(ready.join(known, "k", "left_anti"), "joints")
+        if not fresh.head(1):
+            break
+        known = stash(known.union(fresh), "known")
+    out = step.join(known.select(F.col("k").alias("at"), "level"), "at", "left")
+    return out.select("k.conv_id", "k.call_id", F.when(F.col("done"), F.col("level") + F.col("dist")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """conv_id, turn, call_id, level, status, valid, errors, record.
 
-    ``calls``: conv_id, turn, call_id, name, arguments (JSON text), waits_for; ``results``: conv_id, turn, call_id,
-    content. Of repeated identifiers the first by (turn, content) counts. Status is linked, unanswered (no result)
-    or orphan (a result without a call; its level and valid are null). Arguments that are no JSON, or of an unknown
-    tool, are invalid. Null identifiers take no part. Empty tables give no rows.
+    ``calls``: conv_id, turn, call_id, name, arguments (JSON text), waits_for (an identifier or an array of them);
+    ``results``: conv_id, turn, call_id, content. Further columns of either are not looked at. Identifiers are those of
+    a conversation (a null conv_id is one more conversation), so the same identifier elsewhere is another call. Of
+    repeated identifiers the first by (turn, arguments or content) counts. Status is linked, unanswered (no result) or
+    orphan (a result without a call; its level and valid are null). Arguments that are no JSON, or of an unknown tool,
+    are invalid. Null identifiers take no part. Very long arguments and contents go through whole. Empty tables give no
+    rows.
     """
-    one_call = calls.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "name", "arguments", "waits_for")).alias("c"))
-    one_result = results.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"))
-    order = levels(calls.filter("call_id is not null"))
-    both = one_call.join(one_result, "call_id", "full").join(order, "call_id", "left")
-    rows = both.select(F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), F.coalesce("c.turn", "r.turn").alias("turn"), "call_id", "level", F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").otherwise("linked").alias("status"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("r.content").alias("content"))
+    key = F.struct("conv_id", "call_id").alias("k")
+    one_call = calls.filter("call_id is not null").groupBy(key).agg(F.min(F.struct("turn", "name", "arguments")).alias("c"))
+    one_result = results.filter("call_id is not null").groupBy(key).agg(F.min(F.struct("turn", "content")).alias("r"))
+    order = levels(calls).select(key, "level")
+    both = one_call.join(one_result, "k", "full").join(order, "k", "left")
+    rows = both.select("k.conv_id", F.coalesce("c.turn", "r.turn").alias("turn"), "k.call_id", "level", F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").otherwise("linked").alias("status"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("r.content").alias("content"))
 
     def write(batches):
         for b in batches:
