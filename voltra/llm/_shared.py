@@ -19,9 +19,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: ``spark.checkpoint.dir``, or (unset, as in tests) one of our own."""
+    """Folder every executor sees: ``spark.checkpoint.dir``, or (unset, on one machine) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         path = _OWN["dir"] = tempfile.mkdtemp(prefix="voltra-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path.rstrip("/")
@@ -41,6 +43,12 @@ def texts_only(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*[F.col(f"`{k}`") for k in keep], F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"{base}{i or ''}" for i in range(len(taken) + 1)) if n.lower() not in taken) for base in names]
+
+
 def by_bytes(batches, column: str = "text", limit: int = CHUNK_BYTES):
     """Slice Arrow batches so each slice holds about ``limit`` bytes of ``column`` (one row at least)."""
     import numpy as np

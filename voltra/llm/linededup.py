@@ -1,11 +1,12 @@
-"""Substring dedup by hashing lines, the sentences inside them and content-defined pieces of their words.
-
-Units are normalised (lower-cased words, everything between words ignored) and digested to 128 bits. Digests are
-grouped globally, the occurrence of the smallest doc_id (there, the first in the text) stays, and every other
-occurrence is cut. Sentences are units of their own because a passage that was pasted into a line shares no whole
-line with its source. The words of a line are also cut into pieces, before each word whose hash is the smallest among
-PIECE_RADIUS neighbours on both sides: such cuts follow the words alone, whatever the stops, so a passage is cut alike
-wherever it stands, and its inner pieces meet. Offsets of what was cut refer to the original text.
+"""Substring dedup by hashing lines, cut into pieces at places their words choose.
+
+The units are the lines of a text and, where a line is long enough, pieces of it: a piece begins before each word whose
+hash is smaller than those of PIECE_RADIUS words on both sides. Such cuts follow the words alone, whatever the stops, so
+a passage is cut alike wherever it stands, equal lines have equal pieces, and units tile the text. They are normalised
+(lower-cased words, everything between words ignored) and digested to 128 bits; digests are grouped globally and the
+occurrence of the smallest doc_id (there, the first in the text) stays. Of the others, neighbouring ones are joined, and
+a run of at least MIN_WORDS words is cut: shorter ones are phrases and notices that unrelated texts share. Offsets of
+what was cut refer to the original text.
 """
 
 from __future__ import annotations
@@ -17,15 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _textvec as tv
-from ._shared import by_bytes, stash, string_bytes
+from ._shared import by_bytes, stash, string_bytes, unused
 
-#: Shorter lines and sentences occur in unrelated texts by chance and are no units.
-MIN_LINE_WORDS = 3
-MIN_SENTENCE_WORDS = 6
-PIECE_RADIUS = 5
-
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
+#: Least words of a run of repeated units that is cut.
+MIN_WORDS = 20
+PIECE_RADIUS = 3
 
 
 def _cuts(h: np.ndarray, line: np.ndarray, radius: int = PIECE_RADIUS) -> np.ndarray:
@@ -39,113 +36,114 @@ def _cuts(h: np.ndarray, line: np.ndarray, radius: int = PIECE_RADIUS) -> np.nda
 
 
 class Units:
-    """Units of a batch: row, byte range in the batch, digest (two words); ordered by row and start."""
-
-    def __init__(self, raw, off, min_line: int, min_sentence: int):
-        h, s, e, row = tv.words(raw, off)
-        newline = np.flatnonzero(raw == 10)
-        lines = np.unique(np.concatenate([off[:-1], newline + 1, off[-1:]]))
-        blank = np.flatnonzero((raw[1:] == 32) & _STOP[raw[:-1]]) + 2 if len(raw) else newline
-        sentences = np.unique(np.concatenate([lines, blank]))
-        self.row, self.start, self.end, self.d1, self.d2 = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-        if not len(h):
+    """Units of a batch in order: row, byte range in the batch, first word in its row, words, digest (two words), and
+    whether an earlier unit of the row has the same digest."""
+
+    def __init__(self, raw, off):
+        h, s, _, row = tv.words(raw, off)
+        marks = np.unique(np.concatenate([off[:-1], np.flatnonzero(raw == 10) + 1]))
+        marks = np.union1d(marks, s[_cuts(h, np.searchsorted(marks, s, side="right") - 1)])
+        of = np.searchsorted(marks, s, side="right") - 1
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+        n = np.diff(np.append(first, len(of)))
+        self.row, self.n = row[first], n
+        self.word = first - tv.row_bounds(row, len(off) - 1)[self.row] if len(first) else first
+        if not len(first):
+            self.start = self.end = first
+            self.d1 = self.d2 = np.zeros(0, np.uint64)
+            self.again = np.zeros(0, bool)
             return
-        found = []
-        pieces = np.union1d(lines, s[_cuts(h, np.searchsorted(lines, s, side="right") - 1)])
-        for marks, inner, least in ((lines, False, min_line), (sentences, True, min_sentence), (pieces, True, min_sentence)):
-            of = np.searchsorted(marks, s, side="right") - 1
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            n = np.diff(np.append(first, len(of)))
-            place = np.arange(len(of)) - np.repeat(first, n)
-            up, _ = tv._powers(int(place.max()) + 2)
-            d1 = tv.mix(np.add.reduceat(h * up[place + 1], first) + n.astype(np.uint64))
-            d2 = tv.mix(np.add.reduceat((h ^ (h >> np.uint64(17))) * up[place], first))
-            unit = of[first]
-            start, end = marks[unit], np.append(marks, len(raw))[unit + 1]
-            ok = n >= least
-            if inner:  # without the newline that ends the line
-                end = end - ((end > start) & (raw[np.maximum(end - 1, 0)] == 10))
-            found.append([x[ok] for x in (row[first], start, end, d1, d2, first, n)])
-        row, start, end, d1, d2, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        # a unit of the words of another is that one (the line before the sentence, the sentence before the piece)
-        one = np.sort(np.unique(first * (len(h) + 1) + n, return_index=True)[1])
-        row, start, end, d1, d2 = (x[one] for x in (row, start, end, d1, d2))
-        order = np.lexsort((-end, start, row))
-        self.row, self.start, self.end, self.d1, self.d2 = row[order], start[order], end[order], d1[order], d2[order]
-
-    def first_in_row(self) -> np.ndarray:
-        """Mask of the units that are the first of their digest in their row."""
-        order = np.lexsort((np.arange(len(self.row)), self.d1, self.row))
-        new = np.append(True, (self.d1[order][1:] != self.d1[order][:-1]) | (self.row[order][1:] != self.row[order][:-1]))[: len(order)]
-        out = np.zeros(len(self.row), bool)
-        out[order] = new
-        return out
-
-
-def unit_table(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> DataFrame:
-    """d1, d2, doc_id, text_hash: one row for each distinct unit of each document row."""
+        self.start, end = marks[of[first]], np.append(marks, len(raw))[of[first] + 1]
+        self.end = end - ((end > self.start) & (raw[np.maximum(end - 1, 0)] == 10))  # without the newline that ends the line
+        place = np.arange(len(of)) - np.repeat(first, n)
+        up, _ = tv._powers(int(n.max()) + 2)
+        self.d1 = tv.mix(np.add.reduceat(h * up[place + 1], first) + n.astype(np.uint64))
+        self.d2 = tv.mix(np.add.reduceat((h ^ (h >> np.uint64(17))) * up[place], first))
+        order = np.lexsort((self.d2, self.d1, self.row))  # stable: the first of equal ones comes first
+        same = np.ones(len(order) - 1, bool)
+        for x in (self.row, self.d1, self.d2):
+            same &= x[order][1:] == x[order][:-1]
+        self.again = np.zeros(len(order), bool)
+        self.again[order[1:]] = same
+
+
+def unit_table(docs: DataFrame) -> DataFrame:
+    """d1, d2, doc_id, th (digest of the text), words (first word, words and again, packed), place (bytes from and to, packed)
+    of every unit of every row."""
 
     def run(batches):
         for b in by_bytes(batches):
-            u = Units(*string_bytes(b.column(2)), min_line, min_sentence)
-            one = u.first_in_row()
-            take = pa.array(u.row[one])
-            yield pa.RecordBatch.from_arrays([pa.array(u.d1[one].view(np.int64)), pa.array(u.d2[one].view(np.int64)), b.column(0).take(take), b.column(1).take(take)], names=["d1", "d2", "doc_id", "text_hash"])
-
-    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), docs.schema["doc_id"], T.StructField("text_hash", T.LongType())])
+            raw, off = string_bytes(b.column(2))
+            u = Units(raw, off)
+            take, base = pa.array(u.row), off[u.row]
+            words = (u.word << 32) | (u.n << 1) | u.again
+            yield pa.RecordBatch.from_arrays([pa.array(u.d1.view(np.int64)), pa.array(u.d2.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(words), pa.array((u.start - base) << 32 | (u.end - base))], names=schema.names)
+
+    source = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([*T._parse_datatype_string("d1 long, d2 long").fields, docs.schema["doc_id"], *T._parse_datatype_string("th long, words long, place long").fields])
     return source.mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> DataFrame:
-    """doc_id, text_hash, cut: the digests of the units whose earliest document is another one.
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, th, cut array<struct<words, place>>: the units of each row that an earlier document, or the row before, holds.
 
-    Counting is pre-aggregated before its shuffle; the join that follows it has plain exchanges on both sides, so a
-    digest that a third of all documents hold is split over tasks.
+    Texts are hashed once, into a stored table. Counting is combined before its shuffle; the join that follows it has
+    plain exchanges on both sides, so a digest that a third of all documents hold is split over tasks.
     """
-    units = unit_table(docs, min_line, min_sentence)
-    keepers = stash(units.groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n"), "keepers")
-    later = units.join(keepers.hint("merge"), ["d1", "d2"]).filter(F.col("doc_id") > F.col("keeper"))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("d1").alias("cut"))
-
-
-def dedup(docs: DataFrame, min_line: int = MIN_LINE_WORDS, min_sentence: int = MIN_SENTENCE_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut from ``text``, plus cut_spans array<struct<start,end>> (characters of the original).
-
-    A null text stays null and an empty one empty. Rows with one doc_id rank alike: a unit that several of them hold
-    stays in all of them. Repeats inside one text keep their first occurrence. All other columns, of any name, are as
-    they came; cut_spans must not be one of them.
+    units = stash(unit_table(docs), "units")
+    keepers = units.groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = units.join(keepers.hint("merge"), ["d1", "d2"]).filter("doc_id > keeper or (doc_id is null and keeper is not null) or words % 2 = 1")
+    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("words", "place")).alias("cut"))
+
+
+def _spans(words: np.ndarray, place: np.ndarray, own: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Byte ranges of the runs of neighbouring units of at least ``least`` words; a run of whole lines takes its newline."""
+    order = np.argsort(words)
+    words, place = words[order], place[order]
+    first, n = words >> 32, (words & 0xFFFFFFFF) >> 1
+    new = np.append(True, first[1:] != first[:-1] + n[:-1])
+    total = np.add.reduceat(n, np.flatnonzero(new))
+    out = []
+    for a, b in zip(np.flatnonzero(new)[total >= least].tolist(), np.flatnonzero(np.append(new[1:], True))[total >= least].tolist(), strict=True):
+        start, end = int(place[a] >> 32), int(place[b] & 0xFFFFFFFF)
+        whole = (start == 0 or own[start - 1] == 10) and end < len(own) and own[end] == 10
+        out.append((start, end + whole))
+    return out
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated runs cut from ``text``, plus cut_spans array<struct<start,end>> (characters of the original).
+
+    A null text stays null and an empty one empty; very long texts are cut like others. Rows with one doc_id rank alike
+    (so do null ids, which come last): a unit that several of them hold stays in all of them. Repeats inside one text
+    keep their first occurrence. All other columns, of any name, are as they came; cut_spans must not be one of them. An
+    empty table gives no rows.
     """
     names = docs.columns
-    cuts = repeated(docs, min_line, min_sentence).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("cut").alias("_cut"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = hashed.join(cuts.hint("merge"), (F.col("_hash") == F.col("_cut_hash")) & hashed["doc_id"].eqNullSafe(F.col("_cut_id")), "left").select(*[hashed[f"`{c}`"] for c in names], F.coalesce(hashed["text"], F.lit("")).alias("_text"), "_cut")
+    cut, cut_id, cut_th, th, text_ = unused(docs, "cut", "cut_id", "cut_th", "th", "text_")
+    cuts = repeated(docs).select(F.col("doc_id").alias(cut_id), F.col("th").alias(cut_th), F.col("cut").alias(cut))
+    hashed = docs.withColumn(th, F.xxhash64("text"))
+    joined = hashed.join(cuts.hint("merge"), (F.col(th) == F.col(cut_th)) & hashed["doc_id"].eqNullSafe(F.col(cut_id)), "left").select(*[hashed[f"`{c}`"] for c in names], F.coalesce(hashed["text"], F.lit("")).alias(text_), cut)
     at = names.index("text")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for b in by_bytes(batches, "_text"):
+        for b in by_bytes(batches, text_):
             raw, off = string_bytes(b.column(len(names)))
-            u = Units(raw, off, min_line, min_sentence)
-            gone = ~u.first_in_row()
-            cut = b.column(len(names) + 1)
-            for r in np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                lo, hi = np.searchsorted(u.row, [r, r + 1])
-                gone[lo:hi] |= np.isin(u.d1[lo:hi], cut[r].values.to_numpy().astype(np.int64).view(np.uint64))
+            found = b.column(len(names) + 1)
             spans: list[list] = [[] for _ in range(b.num_rows)]
             texts: dict[int, str] = {}
-            rows = u.row[gone]
-            for r in np.unique(rows).tolist():
-                base, own = int(off[r]), raw[off[r] : off[r + 1]]
+            for r in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own, units = raw[off[r] : off[r + 1]], found[r].values
+                ranges = _spans(*(units.field(i).to_numpy() for i in (0, 1)), own, min_words)
+                if not ranges:
+                    continue
                 chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-                lo, hi = np.searchsorted(rows, [r, r + 1])
                 kept, done = [], 0
-                for s, e in zip((u.start[gone][lo:hi] - base).tolist(), (u.end[gone][lo:hi] - base).tolist(), strict=True):
-                    if e > done:
-                        s = max(s, done)
-                        kept.append(own[done:s].tobytes())
-                        spans[r].append({"start": int(chars[s]), "end": int(chars[e])})
-                        done = e
+                for s, e in ranges:
+                    kept.append(own[done:s].tobytes())
+                    spans[r].append({"start": int(chars[s]), "end": int(chars[e])})
+                    done = e
                 kept.append(own[done:].tobytes())
                 texts[r] = b"".join(kept).decode()
             text = b.column(at)
