@@ -8,7 +8,7 @@ common run reaches ``t`` words. Items shorter than ``t`` words are one window an
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _textvec as tv
-from ._shared import by_bytes, string_bytes
+from ._shared import by_bytes, stash, string_bytes
 
 WINDOW_WORDS = 8
 GRAM_WORDS = 4
@@ -118,60 +118,106 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
-HITS = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, n_hit long, at array<int>"
+HITS = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, n_hit long"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _described(text: pa.Array, mark) -> list[pa.Array]:
+    """The ``HITS`` columns of a batch; ``mark`` gives the hit mask over its words and the items of each row."""
+    raw, off = string_bytes(text)
+    h, s, e, row = tv.words(raw, off)
+    n = len(text)
+    bounds = tv.row_bounds(row, n)
+    hit, items = mark(h, row, bounds)
+    ends = np.concatenate([[0], np.cumsum(hit)])
+    spans: list[list] = [[] for _ in range(n)]
+    at = np.flatnonzero(hit)
+    if len(at):
+        first = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row[at]) > 0)])
+        for i, j in zip(at[first].tolist(), at[np.append(first[1:], True)].tolist(), strict=True):
+            r = int(row[i])
+            spans[r].append({"start": int(s[i] - off[r]), "end": int(e[j] - off[r])})
+    return [pa.array(np.diff(bounds), pa.int64()), pa.array(spans, _SPAN), pa.array([sorted(f) for f in items], pa.list_(pa.string())), pa.array(ends[bounds[1:]] - ends[bounds[:-1]], pa.int64())]
+
+
+def _pass(docs: DataFrame, block: list[tuple], t: int, k: int) -> DataFrame:
+    """k1, k2 (digests of the text), items, at (words hit) of each text in which an item of the block occurs, written."""
+    shared, token = docs.sparkSession.sparkContext.broadcast([x for x in block if x[0] is not None]), uuid.uuid4().hex
+
+    def run(batches):
+        index = _index(shared, token, t, k)
+        ids = [str(i) for i in index.ids]
+        for b in by_bytes(batches):
+            h, _, _, row = tv.words(*string_bytes(b.column(2)))
+            hit, found = index.find(h, row, b.num_rows)
+            bounds = tv.row_bounds(row, b.num_rows)
+            some = [r for r, f in enumerate(found) if f]
+            items = pa.array([sorted({ids[i] for i in found[r]}) for r in some], pa.list_(pa.string()))
+            at = pa.array([np.flatnonzero(hit[bounds[r] : bounds[r + 1]]).tolist() for r in some], pa.list_(pa.int32()))
+            rows = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), items, at], names=["k1", "k2", "items", "at"])
+
+    hits = docs.select(*_digests(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "k1 long, k2 long, items array<string>, at array<int>")
+    out = stash(hits.dropDuplicates(["k1", "k2"]), "hits")
+    shared.unpersist()
+    return out
+
+
+def _digests() -> list:
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS, gram_words: int = GRAM_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: doc_id, n_words, hit spans (byte offsets into the UTF-8 text), item ids found, n_hit.
 
     ``carry`` names further columns that go through as they came, named ``c_<name>``. A null text has no words;
-    items without words never occur; null item ids are ignored; repeated items count once. A benchmark larger than
-    one block meets the documents in several passes that add to each row's hits.
+    items without words never occur; null item ids are ignored; repeated items count once; very long texts are scanned
+    whole. A benchmark of one block is looked up as the documents are read. A larger one goes over them in a pass for
+    each block: a pass writes the hits of its texts before the next block leaves the benchmark, so the driver and the
+    workers hold two blocks at most, and the hits of all passes are joined to the documents by the digest of the text.
     """
     spark = docs.sparkSession
     carried = [T.StructField(f"c_{c}", docs.schema[c].dataType) for c in carry]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text", T.StringType()), *T._parse_datatype_string(HITS).fields, *carried])
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<int>").alias("at"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
-    names = schema.names
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def scan(rows, block, last):
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(HITS).fields, *carried])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
+    blocks = _blocks(benchmark)
+    block, ahead = next(blocks, []), next(blocks, None)
+    if ahead is None:
         shared, token = spark.sparkContext.broadcast([x for x in block if x[0] is not None]), uuid.uuid4().hex
 
-        def run(batches):
+        def scan(batches):
             index = _index(shared, token, window_words, gram_words)
             ids = [str(i) for i in index.ids]
+
+            def mark(h, row, bounds):
+                hit, found = index.find(h, row, len(bounds) - 1)
+                return hit, [{ids[i] for i in f} for f in found]
+
             for b in by_bytes(batches):
-                raw, off = string_bytes(b.column(1))
-                h, s, e, row = tv.words(raw, off)
-                n = b.num_rows
-                hit, found = index.find(h, row, n)
-                items = [{ids[i] for i in f} for f in found]
-                bounds = tv.row_bounds(row, n)
-                for r in np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():  # earlier passes
-                    items[r].update(b.column(2)[r].as_py())
-                    hit[bounds[r] + np.array(b.column(3)[r].as_py(), np.int64)] = True
-                ends = np.concatenate([[0], np.cumsum(hit)])
-                spans: list[list] = [[] for _ in range(n)]
-                at = np.flatnonzero(hit)
-                if len(at):
-                    first = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row[at]) > 0)])
-                    for i, j in zip(at[first].tolist(), at[np.append(first[1:], True)].tolist(), strict=True):
-                        r = int(row[i])
-                        spans[r].append({"start": int(s[i] - off[r]), "end": int(e[j] - off[r])})
-                n_hit = ends[bounds[1:]] - ends[bounds[:-1]]
-                places = pa.nulls(n, pa.list_(pa.int32())) if last else pa.array([(at[ends[bounds[r]] : ends[bounds[r + 1]]] - bounds[r]).tolist() for r in range(n)], pa.list_(pa.int32()))
-                text = pa.nulls(n, pa.string()) if last else b.column(1)
-                cols = [b.column(0), text, pa.array(np.diff(bounds), pa.int64()), pa.array(spans, span), pa.array([sorted(f) for f in items], pa.list_(pa.string())), pa.array(n_hit, pa.int64()), places]
-                yield pa.RecordBatch.from_arrays([*cols, *(b.column(4 + i) for i in range(len(carry)))], names=names)
-
-        return rows.mapInArrow(run, schema)
-
-    blocks = list(_blocks(benchmark)) or [[]]
-    for i, block in enumerate(blocks):
-        out = scan(rows, block, i == len(blocks) - 1)
-        rows = out.select("doc_id", "text", "items", "at", *(f"c_{c}" for c in carry))
-    return out.select("doc_id", "n_words", "spans", "items", "n_hit", *[f"`c_{c}`" for c in carry])
+                yield pa.RecordBatch.from_arrays([b.column(0), *_described(b.column(1), mark), *b.columns[2:]], names=schema.names)
+
+        return rows.mapInArrow(scan, schema)
+    parts = []
+    while block is not None:
+        parts.append(_pass(docs, block, window_words, gram_words))
+        block, ahead = ahead, next(blocks, None)
+    hits = functools.reduce(DataFrame.union, parts).groupBy("k1", "k2").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("at")).alias("at"))
+    joined = rows.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")}).join(hits.hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+
+    def describe(batches):
+        for b in by_bytes(batches):
+            items, at = b.column(2), b.column(3)
+
+            def mark(h, row, bounds, items=items, at=at):
+                hit, found = np.zeros(len(h), bool), [set() for _ in range(len(bounds) - 1)]
+                for r in np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    hit[bounds[r] + at[r].values.to_numpy()] = True
+                    found[r] = set(items[r].as_py())
+                return hit, found
+
+            yield pa.RecordBatch.from_arrays([b.column(0), *_described(b.column(1), mark), *b.columns[4:]], names=schema.names)
+
+    return joined.select("doc_id", "text", "items", "at", *[f"`c_{c}`" for c in carry]).mapInArrow(describe, schema)
 
 
 _INDEXES: dict = {}
@@ -205,8 +251,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("c_n_chars"))
     return hits.select(*[v.alias(c) for c, v in out.items()])
-
-
-def digest(items: list[str]) -> str:
-    """The sha256 the query returns, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
