@@ -21,10 +21,10 @@ from ._shared import stash
 TOP = 20
 CENTROIDS = 64
 #: Vectors the codebooks are fitted on, and queries the budget is measured on, at most (smallest hashed ids).
-FIT_ROWS, SAMPLE_QUERIES = 20_000, 64
+FIT_ROWS, SAMPLE_QUERIES = 10_000, 64
 TARGET = 0.96
 #: Rows of the index and queries that meet in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -151,8 +151,10 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, target: float =
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    by_hash = lambda df, n: np.array([r["e"] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id", "e").limit(n).collect()])
-    sample = by_hash(rows, FIT_ROWS)
+    sample, n = rows, rows.count()
+    if n > 2 * FIT_ROWS:  # so that all tasks together send about twice the bound, however many rows there are
+        sample = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 30)) < (1 << 30) * 2 * FIT_ROWS // n)
+    sample = np.array([r["e"] for r in sample.orderBy(F.xxhash64("vec_id"), "vec_id", "e").limit(FIT_ROWS).collect()])
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = Index(sample)
@@ -174,7 +176,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, target: float =
     n_queries = queries.count()
     index.budget = _measured(cells, index, queries, top, target)
     full = spark.sparkContext.broadcast(index)
-    chunks = max(1, -(-n_queries // BLOCK_QUERIES))
+    tasks = min(-(-n_queries // 128) or 1, 4 * spark.sparkContext.defaultParallelism)
 
     def walk(batches):
         x = full.value
@@ -217,8 +219,11 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, target: float =
             got.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[j], "score": s}))
         return pd.concat(got)
 
-    asked = queries.mapInArrow(walk, "block long, query_id long, reach double, q binary").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks).cast("long")))
-    held = cells.mapInArrow(to_block, "block long, cell long, vec_id long, v binary").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    asked = stash(queries.repartition(tasks).mapInArrow(walk, "block long, query_id long, reach double, q binary"), "asked")
+    # a block goes to as many tasks as the queries that asked for it fill, and to none that nobody asked for
+    chunks = asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK_QUERIES)).alias("chunks"))
+    asked = asked.join(chunks, "block").select("block", F.pmod(F.xxhash64("query_id"), "chunks").alias("chunk"), "query_id", "reach", "q")
+    held = cells.mapInArrow(to_block, "block long, cell long, vec_id long, v binary").join(chunks, "block").select("block", "cell", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     found = held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -235,11 +240,15 @@ def _measured(cells: DataFrame, index: Index, queries: DataFrame, top: int, targ
 
     def brute(batches):
         ids, m = shared.value
+        best = pd.DataFrame({"i": np.zeros(0, np.int64), "cell": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         for b in batches:
             if b.num_rows:
                 v = np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(b.num_rows, -1)
-                i, j, s = _best(m, ids, v, b.column(1).to_numpy(), top)
-                yield pa.RecordBatch.from_arrays([pa.array(i), b.column(0).take(pa.array(j)), b.column(1).take(pa.array(j)), pa.array(s)], names=["i", "cell", "vec_id", "score"])
+                vid = b.column(1).to_numpy()
+                i, j, s = _best(m, ids, v, vid, top)
+                both = pd.concat([best, pd.DataFrame({"i": i, "cell": b.column(0).to_numpy()[j], "vec_id": vid[j], "score": s})])
+                best = both.sort_values(["i", "score", "vec_id"], ascending=[True, False, True]).groupby("i").head(top)
+        yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
     near = cells.mapInArrow(brute, "i long, cell long, vec_id long, score double")
     near = near.withColumn("nth", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "vec_id"))).filter(F.col("nth") <= top).collect()
