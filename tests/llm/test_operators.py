@@ -45,18 +45,43 @@ def test_packing_keeps_ids_and_odd_text(spark):
         assert np.frombuffer(r.ids, "<u4").tolist() == [*coder.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
 
 
-def test_sweeps_place_every_document_once():
+def test_packing_of_special_tokens_null_ids_and_hot_rows(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "a <|endoftext|> b", "x", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "lone"), (None, None)] + [(7, "hot row")] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    coder = Tokenizer.from_file(packing.default_tokenizer())
+    got = packing.pack(docs.withColumns({c: F.lit(1) for c in ("row", "length", "rank")})).collect()
+    want = collections.Counter((d, tuple([*coder.encode(t or "", add_special_tokens=False).ids, 1])) for d, t in rows)
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(rows) and len({r.sequence_id for r in got}) == 2
+
+
+def _best_fit(sizes, seq_len):
+    """How many sequences best-fit needs, one document after the other, the largest first."""
+    free = []
+    for s in sorted(sizes, reverse=True):
+        at = min((f, i) for i, f in enumerate([*free, seq_len]) if f >= s)[1] if s else 0
+        if at == len(free):
+            free.append(seq_len)
+        free[at] -= s
+    return len(free)
+
+
+def test_supersteps_place_every_document_once(spark):
     rng = random.Random(1)
-    for _ in range(20):
-        counts = collections.Counter(rng.randrange(1, 101) for _ in range(rng.randrange(1, 400)))
+    for most, n in ((100, 400), (100, 30), (12, 300), (1, 250), (100, 0)):
+        counts = collections.Counter(rng.randrange(1, most + 1) for _ in range(n))
         fill, ranks = collections.Counter(), collections.defaultdict(list)
-        for size, rank, n, first, offset in sorted(packing.plan_sweeps(dict(counts), 100), key=lambda r: r[4]):
-            for i in range(n):
-                assert fill[first + i] == offset
-                fill[first + i] += size
-                ranks[size].append(rank + i)
-        assert all(sorted(ranks[s]) == list(range(n)) for s, n in counts.items()) and max(fill.values()) <= 100
-        assert len(fill) <= math.ceil(11 / 9 * math.ceil(sum(s * n for s, n in counts.items()) / 100)) + 1
+        rows = packing.supersteps(spark.createDataFrame(list(counts.items()), "length long, n long"), 100).collect()
+        for size, first, m, sequence, offset, per in sorted(rows, key=lambda r: r.offset):
+            for i in range(m):
+                assert fill[sequence + i // per] == offset + size * (i % per)
+                fill[sequence + i // per] += size
+                ranks[size].append(first + i)
+        assert all(sorted(ranks[s]) == list(range(m)) for s, m in counts.items()) and max(fill.values(), default=0) <= 100
+        assert len(fill) <= _best_fit(counts.elements(), 100) * 1.02 + 1
 
 
 # -- chat --------------------------------------------------------------------------------------------------------

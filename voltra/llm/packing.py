@@ -1,11 +1,13 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
-Bulk-synchronous best-fit. Sizes are integers of 1..``seq_len``, so the range-sorted documents and the
-range-sorted gaps are both run-length encoded: a size and how many share it. One superstep handles all
-documents of one size (largest first): a successor sweep walks the gap runs upward from that size, every
-document takes the smallest gap that holds it, conflicts are resolved by rank inside the runs (rank i of the
-documents takes rank i of the gaps), the gaps shrink, and the next size follows. The sweep handles at most
-``seq_len`` runs, however many documents there are; ranks are computed and applied in a distributed pass.
+Bulk-synchronous best-fit over two range-sorted tables: documents and gaps. Sizes are integers of 1..``seq_len``, so
+both are run-length encoded (a size, and how many share it). One superstep handles the documents of one size class,
+larger classes first: documents and gaps are range-partitioned by size and every partition sweeps from its largest size
+down, each document taking the successor, the smallest gap above it that is free; conflicts are resolved by rank inside
+the runs (rank i of the documents takes rank i of the gaps). What partitions leave over meets in a closing sweep that
+opens new sequences for documents no gap holds. The gaps shrink, are written, and the next class follows. No table of a
+superstep has more rows than there are runs, however many documents there are; ranks of the documents themselves are
+computed and applied in a distributed pass at the end.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ def _plain(text: str) -> list[bytes]:
     return raw.translate(_BLANK if b"\xcc" in raw or b"\xcd" in raw else _LOWER).split(b" ")
 
 
+#: Texts a tokenizer must encode alike word by word and whole, for the word-wise way to be used with it.
+_PROBES = ["The cat, it's 12,5 a.b ... ,x. DON'T\t\r\n Éa ﬁ", "a  b\n\nc. D, 9. é. ,. (x) [y] <|z", "ΑΣ İx H̱ X 你好 мир. ß, naïve-café"]
 _CODERS: dict = {}
 
 
@@ -63,6 +68,13 @@ class _Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
         self.model = self.tokenizer.model  # its steps before the model change nothing in a word of a-z
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.wordwise = True
+        self.wordwise = all(self.encode([x])[0] == self._whole(x) for x in _PROBES)
+        self.known = {b"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def add(self, new: list[bytes]) -> None:
         # it never joins a letter or digit to a sign: a final stop or comma is a word of its own
@@ -84,7 +96,16 @@ class _Encoder:
         known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in parted])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Texts with a special token, in any case of letters, go to the tokenizer whole, and so do all texts of a
+        tokenizer that does not pass the probes of the word-wise way.
+        """
+        if not self.wordwise:
+            return [self._whole(text) for text in texts]
+        low = "\0".join(texts).lower()
+        if any(x in low for x in self.special):
+            return [self._whole(text) if any(x in text.lower() for x in self.special) else self.encode([text])[0] for text in texts]
         lists: list[list[bytes]] = []
         new: set[bytes] = set()
         for text in texts:
@@ -110,8 +131,9 @@ class _Encoder:
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, id_col: str = "doc_id") -> DataFrame:
     """Pieces of at most ``seq_len`` tokens: doc_id, piece, start, length, ids (binary, little-endian uint32).
 
-    A null or empty text is the end id alone. Only documents longer than ``seq_len`` are cut. Repeated rows give
-    repeated pieces; other columns of ``docs`` are not looked at.
+    A null or empty text is the end id alone. Only documents longer than ``seq_len`` are cut; very long texts are
+    encoded in slices. Repeated rows give repeated pieces, null ids are kept; other columns of ``docs``, of any name,
+    are not looked at.
     """
     path, width = tokenizer_path or default_tokenizer(), 4 * seq_len
     end = np.array([end_id], "<u4").tobytes()
@@ -129,66 +151,136 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int =
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def plan_sweeps(counts: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, int, int, int, int]]:
-    """Runs (size, first rank, n, first sequence, offset): document rank first+i of that size goes to sequence first+i.
+GAP, DOCUMENT, PLACED, OPENED = range(4)
+#: A class holds the sizes above 1/CLASS of its largest; range partitions of one superstep.
+CLASS, PARTITIONS = 4, 8
+_RUNS = "kind int, size long, first long, n long, sequence long, offset long, per long"
+
 
-    ``counts`` holds how many documents have each size, so both it and the gap runs stay below ``seq_len`` sizes.
+def _take(size: int, first: int, n: int, gap: tuple[int, int, int], seq_len: int, out: list) -> tuple[int, int, list[tuple[int, int, int]], tuple[int, int, int] | None]:
+    """Documents first.. (n of ``size``) fill a run of gaps (free, sequence, how many), each with as many as it holds.
+
+    Appends the placed runs to ``out``; returns what is left of the documents, the gaps that shrank, and those not used.
     """
+    free, seq, m = gap
+    per, shrunk = free // size, []
+    full = min(m, n // per)
+    for many, each in ((full, per), (1, n - full * per)) if full < m and n - full * per < per else ((full, per),):
+        if many and each:
+            out.append((PLACED, size, first, many * each, seq, seq_len - free, each))
+            shrunk.append((free - each * size, seq, many))
+            first, n, seq, m = first + many * each, n - many * each, seq + many, m - many
+    return first, n, [g for g in shrunk if g[0]], (free, seq, m) if m else None
+
+
+def sweep(runs: list[tuple], seq_len: int) -> list[tuple]:
+    """One successor sweep over runs sorted by falling size, gaps before documents: the last gap passed is the smallest that
+    holds a document. Gaps that took documents wait for the next sweep."""
+    stack: list[tuple[int, int, int]] = []
+    out: list[tuple] = []
+    waiting: list[tuple[int, int, int]] = []
+    for kind, size, first, n, *rest in runs:
+        if kind == GAP:
+            stack.append((size, first, n))
+        elif kind == DOCUMENT:
+            while n and stack:
+                first, n, shrunk, unused = _take(size, first, n, stack.pop(), seq_len, out)
+                waiting += shrunk
+                if unused:
+                    stack.append(unused)
+            if n:
+                out.append((DOCUMENT, size, first, n, 0, 0, 0))
+        else:
+            out.append((kind, size, first, n, *rest))
+    return out + [(GAP, *g, 0, 0, 0) for g in stack + waiting]
+
+
+def close(runs: list[tuple], seq_len: int) -> list[tuple]:
+    """Best-fit of all documents in ``runs``, largest first: gaps that shrank are used again, and where none holds a size,
+    sequences are opened. The numbers opened so far are in the OPENED run."""
+    out = [r for r in runs if r[0] == PLACED]
+    opened = sum(r[3] for r in runs if r[0] == OPENED)
     gaps: dict[int, list[tuple[int, int]]] = {}
     order: list[int] = []
-    runs: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                bisect.insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
-
-    for size in sorted((s for s, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[size]
-        while left:
+
+    def put(free: int, seq: int, n: int) -> None:
+        if free not in gaps:
+            bisect.insort(order, free)
+            gaps[free] = []
+        gaps[free].append((seq, n))
+
+    for r in runs:
+        if r[0] == GAP:
+            put(*r[1:4])
+    for _, size, first, n, *_ in sorted((r for r in runs if r[0] == DOCUMENT), key=lambda r: (-r[1], r[2])):
+        while n:
             at = bisect.bisect_left(order, size)
-            if at == len(order):  # nothing holds this size: open what the rest needs
-                fresh = -(-left // (seq_len // size))
+            if at == len(order):
+                fresh = -(-n // (seq_len // size))
                 put(seq_len, opened, fresh)
                 opened += fresh
                 at = bisect.bisect_left(order, size)
-            gap = order[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], order[at]
-            took = min(n, left)
-            runs.append((size, rank, took, first, seq_len - gap))
-            put(gap - size, first, took)
-            if took < n:
-                put(gap, first + took, n - took)
-            rank, left = rank + took, left - took
-    return runs
-
-
-def place(pieces: DataFrame, seq_len: int = SEQ_LEN, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` (a stored table with ``length`` of 1..seq_len) plus sequence_id long and offset long.
-
-    Ties and repeated rows are told apart by rank only. A size that many rows share is ranked in salted groups
+            free = order[at]
+            seq, m = gaps[free].pop()
+            if not gaps[free]:
+                del gaps[free], order[at]
+            first, n, shrunk, unused = _take(size, first, n, (free, seq, m), seq_len, out)
+            for g in [*shrunk, *([unused] if unused else [])]:
+                put(*g)
+    return [*out, (OPENED, 0, 0, opened, 0, 0, 0), *((GAP, f, seq, n, 0, 0, 0) for f, g in gaps.items() for seq, n in g)]
+
+
+def _swept(runs: DataFrame, fn, seq_len: int) -> DataFrame:
+    """``fn`` over the sorted runs of each partition."""
+
+    def run(frames):
+        rows = [r for pdf in frames for r in pdf.itertuples(index=False, name=None)]
+        yield pd.DataFrame(fn(rows, seq_len), columns=[c.split()[0] for c in _RUNS.split(", ")])
+
+    return runs.mapInPandas(run, _RUNS)
+
+
+def supersteps(sizes: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
+    """Placed runs (size, first, n, sequence, offset, per) for ``sizes`` (length, n): the document of rank first+i of that
+    size goes to sequence + i div per, at offset + size * (i mod per)."""
+    spark = sizes.sparkSession
+    docs = stash(sizes.select(F.lit(DOCUMENT).alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), *[F.lit(0).cast("long").alias(c) for c in ("sequence", "offset", "per")]), "sizes")
+    gaps, placed, top = spark.createDataFrame([], _RUNS), spark.createDataFrame([], _RUNS), seq_len
+    largest = docs.agg(F.max("size")).first()[0] or 0
+    while top:
+        if top // CLASS < largest:
+            runs = docs.filter(F.col("size").between(top // CLASS + 1, top)).union(gaps)
+            ranged = runs.repartitionByRange(PARTITIONS, F.desc("size"), "kind").sortWithinPartitions(F.desc("size"), "kind", F.desc("n"), "first")
+            swept = _swept(ranged, sweep, seq_len)
+            # one row a run: at most a few for each size, whatever the number of documents
+            state = stash(_swept(swept.repartition(1), close, seq_len), "gaps")
+            gaps, placed = state.filter(F.col("kind").isin(GAP, OPENED)), placed.union(state.filter(F.col("kind") == PLACED))
+        top //= CLASS
+    return placed.select("size", "first", "n", "sequence", "offset", "per")
+
+
+def place(pieces: DataFrame, seq_len: int = SEQ_LEN, row: str = "row") -> DataFrame:
+    """``pieces`` (a stored table with ``length`` of 1..seq_len and a number of its own for each row) without the row number,
+    plus sequence_id long and offset long.
+
+    Ties and repeated rows are told apart by their row number. A size that many rows share is ranked in salted groups
     of about 500 rows or more, whose offsets come from their counts, so no task gets a whole hot size.
     """
     spark = pieces.sparkSession
-    hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    if any(not 1 <= s <= seq_len for s in hist):
+    sizes = stash(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    low, high, total = sizes.agg(F.min("length"), F.max("length"), F.sum("n")).first()
+    if low is not None and not 1 <= low <= high <= seq_len:
         raise ValueError(f"piece lengths must be 1 to {seq_len}")
-    runs = plan_sweeps(hist, seq_len)
-    target = max(500, sum(hist.values()) // 1_000_000)
-    salts = spark.createDataFrame([(s, -(-n // target)) for s, n in hist.items()], "length long, salts long")
+    runs = [tuple(r) for r in supersteps(sizes, seq_len).orderBy("size", "first").collect()]  # a few for each size
+    target = max(500, (total or 0) // 1_000_000)
+    salts = sizes.select("length", F.ceil(F.col("n") / F.lit(target)).alias("salts"))
     # at most seq_len rows: a proven bound
-    salted = pieces.join(F.broadcast(salts), "length", "left").withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts"))).drop("salts")
-    within = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*keys)))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = within.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("before", "nth", "salt")
-    table = np.array(sorted(runs) or [(0, 0, 0, 0, 0)], np.int64)
-    shared = spark.sparkContext.broadcast(table)
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(row), F.col("salts"))).drop("salts")
+    within = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy(row)))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = counts.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = within.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("before", "nth", "salt", row)
+    shared = spark.sparkContext.broadcast(np.array(runs or [(0, 0, 0, 0, 0, 1)], np.int64))
     names = ranked.columns
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +289,9 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, keys: tuple[str, ...] = ("d
         for b in batches:
             size = b.column(names.index("length")).to_numpy()
             rank = b.column(names.index("rank")).to_numpy()
-            hit = t[np.searchsorted(starts, (size << 48) + rank, side="right") - 1]
+            _, first, _, sequence, offset, per = t[np.searchsorted(starts, (size << 48) + rank, side="right") - 1].T
             cols = [b.column(i) for i, c in enumerate(names) if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], names=[*(c for c in names if c != "rank"), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence + (rank - first) // per), pa.array(offset + size * ((rank - first) % per))], names=[*(c for c in names if c != "rank"), "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
     return ranked.mapInArrow(assign, schema)
@@ -211,6 +303,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_
     The ids are stored once and move with their rows to the ranks of their size, so repeated rows keep their own.
     With ``keep_ids=False`` the ids are digested as they are made and never move.
     """
-    pieces = tokenize(docs, tokenizer_path, seq_len, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = tokenize(docs, tokenizer_path, seq_len, end_id).withColumns({"ids_crc32": F.crc32("ids"), "row": F.monotonically_increasing_id()})
     stored = stash(pieces if keep_ids else pieces.drop("ids"), "pieces")
     return place(stored, seq_len)
