@@ -38,14 +38,17 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else _BLANK[i] for i in range(256))
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def _plain(text: str) -> list[bytes]:
-    """Words (UTF-8) whose ids one after the other are those of the text.
+def _plain(text: str, special: list[bytes]) -> list[bytes] | None:
+    """Words (UTF-8) whose ids one after the other are those of the text; none if a ``special`` token may be in it.
 
     The tokenizer drops white space and lower-cases, so words are lower-cased first. Letters keep their case where
     combining marks (lead bytes 0xCC, 0xCD) are in the text, because those are composed before it lower-cases.
     """
     raw = text.encode()
-    return raw.translate(_BLANK if b"\xcc" in raw or b"\xcd" in raw else _LOWER).split(b" ")
+    low = raw.translate(_LOWER)
+    if any(x in low for x in special):
+        return None
+    return (raw.translate(_BLANK) if b"\xcc" in raw or b"\xcd" in raw else low).split(b" ")
 
 
 #: Texts a tokenizer must encode alike word by word and whole, for the word-wise way to be used with it.
@@ -68,7 +71,7 @@ class _Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
         self.model = self.tokenizer.model  # its steps before the model change nothing in a word of a-z
-        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wordwise = True
         self.wordwise = all(self.encode([x])[0] == self._whole(x) for x in _PROBES)
         self.known = {b"": b""}
@@ -103,19 +106,15 @@ class _Encoder:
         """
         if not self.wordwise:
             return [self._whole(text) for text in texts]
-        low = "\0".join(texts).lower()
-        if any(x in low for x in self.special):
-            return [self._whole(text) if any(x in text.lower() for x in self.special) else self.encode([text])[0] for text in texts]
-        lists: list[list[bytes]] = []
+        lists = [_plain(text, self.special) for text in texts]
         new: set[bytes] = set()
-        for text in texts:
-            lists.append(_plain(text))
-            new.update(lists[-1])
+        for words in lists:
+            new.update(words or ())
         if len(self.known) > CACHE_WORDS:  # the first words seen are mostly the frequent ones
             self.known = dict(itertools.islice(self.known.items(), CACHE_WORDS // 2))
         self.add(list(new.difference(self.known)))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        return [self._whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, lists, strict=True)]
 
     def encode_long(self, text: str) -> bytes:
         """The same for one text in slices cut at white space."""
