@@ -192,7 +192,7 @@ def test_jaccard_join_splits_large_buckets(spark, monkeypatch):
 
 
 # -- repeated passages -------------------------------------------------------------------------------------------
-def _cut_by_hand(docs, least=20, radius=3):
+def _cut_by_hand(docs, least=20, radius=4):
     """(doc_id, text, spans) of each row: lines cut into pieces one word at a time, and digests that are the words."""
     rows, units = [(r.doc_id, r.text) for r in docs.collect()], []
     for _, text in rows:

@@ -22,7 +22,7 @@ from ._shared import by_bytes, stash, string_bytes, unused
 
 #: Least words of a run of repeated units that is cut.
 MIN_WORDS = 20
-PIECE_RADIUS = 3
+PIECE_RADIUS = 4
 
 
 def _cuts(h: np.ndarray, line: np.ndarray, radius: int = PIECE_RADIUS) -> np.ndarray:
@@ -36,8 +36,8 @@ def _cuts(h: np.ndarray, line: np.ndarray, radius: int = PIECE_RADIUS) -> np.nda
 
 
 class Units:
-    """Units of a batch in order: row, byte range in the batch, first word in its row, words, digest (two words), and
-    whether an earlier unit of the row has the same digest."""
+    """Units of a batch in order: row, first word in its row, words, digest (two words), and whether an earlier unit of the
+    row has the same digest."""
 
     def __init__(self, raw, off):
         h, s, _, row = tv.words(raw, off)
@@ -49,12 +49,9 @@ class Units:
         self.row, self.n = row[first], n
         self.word = first - tv.row_bounds(row, len(off) - 1)[self.row] if len(first) else first
         if not len(first):
-            self.start = self.end = first
             self.d1 = self.d2 = np.zeros(0, np.uint64)
             self.again = np.zeros(0, bool)
             return
-        self.start, end = marks[of[first]], np.append(marks, len(raw))[of[first] + 1]
-        self.end = end - ((end > self.start) & (raw[np.maximum(end - 1, 0)] == 10))  # without the newline that ends the line
         place = np.arange(len(of)) - np.repeat(first, n)
         up, _ = tv._powers(int(n.max()) + 2)
         self.d1 = tv.mix(np.add.reduceat(h * up[place + 1], first) + n.astype(np.uint64))
@@ -68,24 +65,23 @@ class Units:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """d1, d2, doc_id, th (digest of the text), words (first word, words and again, packed), place (bytes from and to, packed)
-    of every unit of every row."""
+    """d1, d2, doc_id, th (digest of the text), words (first word, words and again, packed) of every unit of every row."""
 
     def run(batches):
         for b in by_bytes(batches):
             raw, off = string_bytes(b.column(2))
             u = Units(raw, off)
-            take, base = pa.array(u.row), off[u.row]
+            take = pa.array(u.row)
             words = (u.word << 32) | (u.n << 1) | u.again
-            yield pa.RecordBatch.from_arrays([pa.array(u.d1.view(np.int64)), pa.array(u.d2.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(words), pa.array((u.start - base) << 32 | (u.end - base))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(u.d1.view(np.int64)), pa.array(u.d2.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(words)], names=schema.names)
 
     source = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = T.StructType([*T._parse_datatype_string("d1 long, d2 long").fields, docs.schema["doc_id"], *T._parse_datatype_string("th long, words long, place long").fields])
+    schema = T.StructType([*T._parse_datatype_string("d1 long, d2 long").fields, docs.schema["doc_id"], *T._parse_datatype_string("th long, words long").fields])
     return source.mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, th, cut array<struct<words, place>>: the units of each row that an earlier document, or the row before, holds.
+    """doc_id, th, cut (the packed words): the units of each row that an earlier document, or the row before, holds.
 
     Texts are hashed once, into a stored table. Counting is combined before its shuffle; the join that follows it has
     plain exchanges on both sides, so a digest that a third of all documents hold is split over tasks.
@@ -93,21 +89,29 @@ def repeated(docs: DataFrame) -> DataFrame:
     units = stash(unit_table(docs), "units")
     keepers = units.groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = units.join(keepers.hint("merge"), ["d1", "d2"]).filter("doc_id > keeper or (doc_id is null and keeper is not null) or words % 2 = 1")
-    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("words", "place")).alias("cut"))
+    return later.groupBy("doc_id", "th").agg(F.collect_set("words").alias("cut"))
 
 
-def _spans(words: np.ndarray, place: np.ndarray, own: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte ranges of the runs of neighbouring units of at least ``least`` words; a run of whole lines takes its newline."""
-    order = np.argsort(words)
-    words, place = words[order], place[order]
-    first, n = words >> 32, (words & 0xFFFFFFFF) >> 1
+def _spans(units: np.ndarray, own: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Byte ranges in a text of the runs of neighbouring units of at least ``least`` words: from the word (or the line it
+    begins) to the next unit (or the end of the line). A run of whole lines takes its newline."""
+    units = np.sort(units)
+    first, n = units >> 32, (units & 0xFFFFFFFF) >> 1
     new = np.append(True, first[1:] != first[:-1] + n[:-1])
-    total = np.add.reduceat(n, np.flatnonzero(new))
+    at = np.flatnonzero(new)[np.add.reduceat(n, np.flatnonzero(new)) >= least]
+    if not len(at):
+        return []
+    last = np.flatnonzero(np.append(new[1:], True))
+    last = last[np.searchsorted(last, at)]
+    _, starts, _, _ = tv.words(own, np.array([0, len(own)]))
+    lines = np.append(0, np.flatnonzero(own == 10) + 1)
+    line = np.searchsorted(lines, starts, side="right") - 1
     out = []
-    for a, b in zip(np.flatnonzero(new)[total >= least].tolist(), np.flatnonzero(np.append(new[1:], True))[total >= least].tolist(), strict=True):
-        start, end = int(place[a] >> 32), int(place[b] & 0xFFFFFFFF)
-        whole = (start == 0 or own[start - 1] == 10) and end < len(own) and own[end] == 10
-        out.append((start, end + whole))
+    for a, z in zip(first[at].tolist(), (first[last] + n[last]).tolist(), strict=True):
+        opens = a == 0 or line[a] != line[a - 1]
+        closes = z == len(starts) or line[z] != line[z - 1]
+        stop = int(lines[line[z - 1] + 1]) if line[z - 1] + 1 < len(lines) else len(own) + 1
+        out.append((int(lines[line[a]] if opens else starts[a]), min(len(own), stop if opens else stop - 1) if closes else int(starts[z])))
     return out
 
 
@@ -134,8 +138,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             spans: list[list] = [[] for _ in range(b.num_rows)]
             texts: dict[int, str] = {}
             for r in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                own, units = raw[off[r] : off[r + 1]], found[r].values
-                ranges = _spans(*(units.field(i).to_numpy() for i in (0, 1)), own, min_words)
+                own = raw[off[r] : off[r + 1]]
+                ranges = _spans(found[r].values.to_numpy(), own, min_words)
                 if not ranges:
                     continue
                 chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
