@@ -1,55 +1,97 @@
-"""Filters and resampling. Coefficients are designed on the driver; each segment is filtered in one Arrow group."""
+"""Filters and resampling. Coefficients are designed on the driver; segments of one length are filtered as a matrix."""
 
 from __future__ import annotations
 
 import warnings
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import selectors as sel
 from ..model import Recording
+from ..plans import segments
 
 
 # -- design ------------------------------------------------------------------------------------------------------
-def fir(rate: float, low: float | None, high: float | None, low_width: float | None = None, high_width: float | None = None, length: int | None = None) -> np.ndarray:
-    """Hamming-windowed sinc taps passing ``low``..``high`` Hz (None: open); low > high stops high..low instead."""
+#: Length of a filter times its transition width, in units of the rate, for each window.
+LENGTHS = {"hann": 3.1, "hamming": 3.3, "blackman": 5.0}
+#: Cosine terms of the windows.
+_TERMS = {"hann": (0.5, 0.5, 0.0), "hamming": (0.54, 0.46, 0.0), "blackman": (0.42, 0.5, 0.08)}
+
+
+def _lowpass(rate: float, cut: float, n: int, window: str = "hamming") -> np.ndarray:
+    """Windowed sinc of n taps and gain 1 at 0 Hz."""
+    t, turn = np.arange(n) - (n - 1) / 2, 2 * np.pi * np.arange(n) / max(1, n - 1)
+    a, b, c = _TERMS[window]
+    h = np.sinc(2 * cut / rate * t) * (a - b * np.cos(turn) + c * np.cos(2 * turn))
+    return h / h.sum()
+
+
+def fir(rate: float, low: float | None, high: float | None, low_width: float | None = None, high_width: float | None = None, length: int | None = None, window: str = "hamming") -> np.ndarray:
+    """Windowed-sinc taps passing ``low``..``high`` Hz (None: open); low > high stops high..low instead.
+
+    Each transition has a filter as long as its own width asks for, centred in the longest one. A band-stop has its
+    transitions inside the stopped band, and is refused where they would cross.
+    """
     nyquist = rate / 2
+    if window not in LENGTHS:
+        raise ValueError(f"unknown window {window!r}: {', '.join(LENGTHS)}")
     for f in (low, high):
         if f is not None and not 0 < f < nyquist:
             raise ValueError(f"frequencies must be between 0 and {nyquist}")
     lw = low_width or (min(max(0.25 * low, 2), low) if low else None)
     hw = high_width or (min(max(0.25 * high, 2), nyquist - high) if high else None)
-    widths = [w for w in (lw, hw) if w]
-    n = length or int(round(3.3 * rate / min(widths)))
-    n += 1 - n % 2
     stop = low is not None and high is not None and low > high
+    if stop and high + hw > low - lw:
+        raise ValueError(f"the transitions of {hw:g} and {lw:g} Hz cross inside the stopped band {high:g}..{low:g} Hz: set a smaller low_width and high_width")
+    if low and low - lw < 0 or high and high + hw > nyquist:
+        raise ValueError(f"a transition leaves the range from 0 to {nyquist} Hz")
+    odd = lambda w: (n := max(1, int(round(LENGTHS[window] * rate / w)))) + 1 - n % 2
+    needed = max(odd(w) for w in (lw, hw) if w)
+    n = length or needed
+    n += 1 - n % 2
+    if n < needed:
+        raise ValueError(f"{n} taps are too few for these transitions, which need {needed}")
 
-    def lowpass(cut: float) -> np.ndarray:
-        t = np.arange(n) - (n - 1) / 2
-        h = 2 * cut / rate * np.sinc(2 * cut / rate * t) * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
-        return h / h.sum()
+    def part(cut: float, width: float) -> np.ndarray:
+        h = _lowpass(rate, cut, odd(width), window)
+        return np.pad(h, (n - len(h)) // 2)
 
     unit = np.zeros(n)
     unit[n // 2] = 1
+    if low is None and high is None:
+        return unit
     if low is None:
-        return lowpass(high + hw / 2)
+        return part(high + hw / 2, hw)
     if high is None:
-        return unit - lowpass(low - lw / 2)
+        return unit - part(low - lw / 2, lw)
     if stop:  # pass below high and above low
-        return lowpass(high + hw / 2) + unit - lowpass(low - lw / 2)
-    return lowpass(high + hw / 2) - lowpass(low - lw / 2)
+        return part(high + hw / 2, hw) + unit - part(low - lw / 2, lw)
+    return part(high + hw / 2, hw) - part(low - lw / 2, lw)
+
+
+def _reflected(v: np.ndarray, pad: int) -> np.ndarray:
+    """Rows of ``v`` with ``pad`` values of odd reflection at both ends."""
+    if not pad:
+        return v
+    return np.concatenate([2 * v[:, :1] - v[:, pad:0:-1], v, 2 * v[:, -1:] - v[:, -2 : -pad - 2 : -1]], axis=1)
 
 
 def apply_fir(v: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Zero phase: odd reflection at both ends, one FFT product, the delay taken off."""
-    n, pad = len(v), min(len(h) - 1, len(v) - 1)
-    wide = np.concatenate([2 * v[0] - v[pad:0:-1], v, 2 * v[-1] - v[-2 : -pad - 2 : -1]]) if pad else v
-    size = 1 << int(np.ceil(np.log2(len(wide) + len(h) - 1)))
-    full = np.fft.irfft(np.fft.rfft(wide, size) * np.fft.rfft(h, size), size)
+    """Zero phase along the last axis: odd reflection at both ends, products of transformed blocks, the delay taken off."""
+    rows = np.atleast_2d(v).astype(float)
+    n, pad = rows.shape[1], min(len(h) - 1, rows.shape[1] - 1)
+    wide = np.concatenate([_reflected(rows, pad), np.zeros((len(rows), len(h) - 1))], axis=1)
+    size = 1 << int(np.ceil(np.log2(min(max(8 * len(h), 4096), wide.shape[1] + len(h) - 1))))
+    step = size - len(h) + 1
+    blocks = -(-wide.shape[1] // step)
+    wide = np.pad(wide, ((0, 0), (len(h) - 1, blocks * step - wide.shape[1])))
+    frames = np.lib.stride_tricks.sliding_window_view(wide, size, axis=1)[:, ::step]
+    full = np.fft.irfft(np.fft.rfft(frames, axis=2) * np.fft.rfft(h, size), size, axis=2)[:, :, len(h) - 1 :].reshape(len(rows), -1)
     at = pad + (len(h) - 1) // 2
-    return full[at : at + n]
+    return full[:, at : at + n].reshape(np.shape(v))
 
 
 def _prototype(kind: str, order: int, rp: float, rs: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -168,49 +210,81 @@ def _paired(roots: list[complex]) -> list[complex]:
     return out + sorted((complex(r.real) for r in roots if abs(r.imag) <= 1e-10), key=lambda r: r.real)
 
 
-def _section(b, a, v: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.empty_like(v)
-    s1, s2 = state
-    for i, x in enumerate(v):
-        y = b[0] * x + s1
-        s1 = b[1] * x - a[1] * y + s2
-        s2 = b[2] * x - a[2] * y
-        out[i] = y
-    return out
+#: Samples of a block of the recursion; inside a block it is a matrix product.
+_BLOCK = 64
+
+
+def _section(b: np.ndarray, a: np.ndarray, v: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """A second-order section along the rows of ``v`` from ``state`` (rows by 2).
+
+    The recursion is one matrix product for what the samples of a block give its outputs and its last state, and a step a
+    block for what the state before it adds.
+    """
+    m, n = v.shape
+    size = min(_BLOCK, n)
+    blocks = -(-n // size)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    enter = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    seen = np.array([p[0] for p in powers[:size]])  # what a state gives each output of its block
+    impulse = np.concatenate([[b[0]], [p[0] @ enter for p in powers[: size - 1]]])
+    gives = np.zeros((size, size))
+    for i in range(size):
+        gives[i, i:] = impulse[: size - i]
+    ends = np.array([powers[size - 1 - i] @ enter for i in range(size)])
+    x = np.pad(v, ((0, 0), (0, blocks * size - n))).reshape(m, blocks, size)
+    y, into = x @ gives, x @ ends
+    states = np.empty((m, blocks, 2))
+    across = powers[size].T
+    for k in range(blocks):
+        states[:, k] = state
+        state = state @ across + into[:, k]
+    y += states @ seen.T
+    return y.reshape(m, -1)[:, :n]
 
 
 def apply_iir(v: np.ndarray, sections) -> np.ndarray:
-    """Forward and backward, with odd reflection and steady-state starts, so the phase is zero."""
-    pad = min(3 * (2 * len(sections) + 1), len(v) - 1)
-    wide = np.concatenate([2 * v[0] - v[pad:0:-1], v, 2 * v[-1] - v[-2 : -pad - 2 : -1]]) if pad else v.astype(float)
+    """Forward and backward along the last axis, with odd reflection and steady-state starts, so the phase is zero."""
+    rows = np.atleast_2d(v).astype(float)
+    pad = min(3 * (2 * len(sections) + 1), rows.shape[1] - 1)
+    wide = _reflected(rows, pad)
     for _ in range(2):
-        level = 1.0
-        x0 = wide[0]
+        level = wide[:, :1].copy()
         for b, a in sections:
             gain = b.sum() / a.sum()
-            state = np.array([gain - b[0], b[2] - a[2] * gain]) * level * x0
-            wide = _section(b, a, wide, state)
-            level *= gain
-        wide = wide[::-1]
-    return wide[pad : pad + len(v)]
+            wide = _section(b, a, wide, level * np.array([gain - b[0], b[2] - a[2] * gain]))
+            level = level * gain
+        wide = wide[:, ::-1]
+    return wide[:, pad : pad + rows.shape[1]].reshape(np.shape(v))
 
 
 # -- operators ---------------------------------------------------------------------------------------------------
+def _rows(v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Segments of one length as (segments x channels) rows of samples."""
+    return v[rows].transpose(0, 2, 1).reshape(-1, rows.shape[1])
+
+
 def _per_segment(x: Recording, names: list[str], fn, na_rm: bool) -> Recording:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_sample").copy()
-        for c in names:
-            v = pdf[c].to_numpy(float)
-            if np.isnan(v).any():
-                if not na_rm:
-                    raise ValueError(f"channel {c} has nulls; na_rm=True makes such segments null")
-                pdf[c] = np.nan
-            else:
-                pdf[c] = fn(v)
-        return pdf
+    def run(table, bounds):
+        v = segments.values(table, names)
+        holed = np.logical_or.reduceat(np.isnan(v), bounds[:-1])  # segments by channels
+        if holed.any() and not na_rm:
+            raise ValueError(f"channel {names[int(np.flatnonzero(holed.any(0))[0])]} has nulls; na_rm=True makes such segments null")
+        for which, rows in segments.by_length(bounds):
+            y = fn(np.nan_to_num(_rows(v, rows))).reshape(len(which), len(names), -1)
+            y[holed[which]] = np.nan
+            v[rows] = y.transpose(0, 2, 1)
+        for i, c in enumerate(names):
+            table = table.set_column(table.schema.get_field_index(c), c, segments.column(v[:, i]))
+        return table
+
+    return x._with(signal=segments.over(x.signal, "_sample", _with_doubles(x, names), run))
 
-    signal = x.signal.groupBy("_id").applyInPandas(run, x.signal.schema)
-    return x._with(signal=signal.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names}))
+
+def _with_doubles(x: Recording, names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in names else f for f in x.signal.schema])
 
 
 def _filter(x: Recording, channels, low, high, method: str, na_rm: bool, config: dict | None) -> Recording:
@@ -219,11 +293,48 @@ def _filter(x: Recording, channels, low, high, method: str, na_rm: bool, config:
         h = fir(x.rate, low, high, **config)
         return _per_segment(x, names, lambda v: apply_fir(v, h), na_rm)
     if method == "iir":
-        sections = iir(x.rate, low, high, **config)
+        sections = _sections(x.rate, low, high, **config)
         return _per_segment(x, names, lambda v: apply_iir(v, sections), na_rm)
     raise ValueError("method must be fir or iir")
 
 
+def _sections(rate: float, low: float | None, high: float | None, sos=None, b=None, a=None, **design) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections given as they are (rows b0 b1 b2 a0 a1 a2) or as polynomials b and a, else designed."""
+    if sos is not None:
+        rows = np.asarray(sos, float).reshape(-1, 6)
+        out = [(r[:3] / r[3], r[3:] / r[3]) for r in rows]
+    elif b is not None and a is not None:
+        b, a = np.trim_zeros(np.asarray(b, float), "b"), np.trim_zeros(np.asarray(a, float), "b")
+        out = _factored(np.roots(b), np.roots(a), b[np.flatnonzero(b)[0]] / a[0], np.flatnonzero(b)[0])
+    else:
+        return iir(rate, low, high, **design)
+    if any(np.abs(np.roots(np.trim_zeros(s[1], "b"))).max(initial=0) >= 1 for s in out):
+        raise ValueError("the filter is unstable: poles outside the unit circle")
+    return out
+
+
+def _factored(z: np.ndarray, p: np.ndarray, k: float, delay: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections of zeros, poles and gain; ``delay`` samples come before the first."""
+    pairs = lambda r: [np.poly(r[i : i + 2]).real for i in range(0, len(r), 2)]
+    tops, bottoms = pairs(_paired(list(z))), pairs(_paired(list(p)))
+    out = []
+    for i in range(max(len(tops), len(bottoms), 1)):
+        t, u = (tops[i] if i < len(tops) else np.ones(1)), (bottoms[i] if i < len(bottoms) else np.ones(1))
+        out.append((np.pad(t, (0, 3 - len(t))), np.pad(u, (0, 3 - len(u)))))
+    out[0] = (out[0][0] * k, out[0][1])
+    for d in range(0, delay, 2):
+        out.append((np.eye(3)[min(2, delay - d)], np.array([1.0, 0, 0])))
+    return out
+
+
+def pass_between(x: Recording, *channels, freq: tuple[float | None, float | None], method: str = "fir", na_rm: bool = False, config: dict | None = None) -> Recording:
+    """A filter with the lower and the upper frequency that passes; None leaves that side open."""
+    low, high = freq
+    if low is None and high is None:
+        return x
+    return _filter(x, channels, low, high, method, na_rm, config)
+
+
 def low_pass(x: Recording, *channels, freq: float, method: str = "fir", na_rm: bool = False, config: dict | None = None) -> Recording:
     return _filter(x, channels, None, freq, method, na_rm, config)
 
@@ -282,22 +393,36 @@ def downsample(x: Recording, q: float = 2, max_sample: int | None = None, ftype:
     q, rate, names = round(q), x.rate, x.channel_names
     steps = factors(q) if multiple_times else [q]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_sample")
-        out = pdf.iloc[::q].copy()
-        for c in names:
-            v, r = pdf[c].to_numpy(float), rate
-            if not np.isnan(v).any() and len(v) > 1:
-                for s in steps:
-                    v = apply_iir(v, iir(r, None, 0.8 * r / 2 / s, "cheby1", n or 8, rp=0.05)) if ftype == "iir" else apply_fir(v, fir(r, None, 0.8 * r / 2 / s, length=(n or 30) + 1))
-                    v, r = v[::s], r / s
-                out[c] = v[: len(out)]
+    def thin(v: np.ndarray) -> np.ndarray:
+        r = rate
+        for s in steps:
+            if ftype == "iir":
+                v = apply_iir(v, iir(r, None, 0.8 * r / 2 / s, "cheby1", n or 8, rp=0.05))
             else:
-                out[c] = v[::q]
-        first = int(np.ceil(pdf["_sample"].iloc[0] / q))
-        out["_sample"] = np.arange(first, first + len(out))
-        return out
-
-    signal = x.signal.groupBy("_id").applyInPandas(run, x.signal.schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
+                cut = 0.8 * r / 2 / s
+                v = apply_fir(v, _lowpass(r, cut + min(max(0.25 * cut, 2), r / 2 - cut) / 2, (n or 30) + 1 - (n or 30) % 2))
+            v, r = v[:, ::s], r / s
+        return v
+
+    def run(table, bounds):
+        v, sample = segments.values(table, names), table.column("_sample").to_numpy()
+        parts, keep, renumbered = [], [], []
+        for which, rows in segments.by_length(bounds):
+            wide = _rows(v, rows)
+            bad = np.isnan(wide).any(1) | (rows.shape[1] < 2)
+            y = wide[:, ::q].copy()
+            if not bad.all():
+                y[~bad] = thin(wide[~bad])[:, : y.shape[1]]
+            keep.append(rows[:, ::q].ravel())
+            first = -(-sample[rows[:, 0]].astype(np.int64) // q)
+            renumbered.append((first[:, None] + np.arange(y.shape[1])).ravel())
+            parts.append(y.reshape(len(which), len(names), -1).transpose(0, 2, 1).reshape(-1, len(names)))
+        out, y = table.take(pa.array(np.concatenate(keep))), np.concatenate(parts)
+        for i, c in enumerate(names):
+            out = out.set_column(out.schema.get_field_index(c), c, segments.column(y[:, i]))
+        at = out.schema.get_field_index("_sample")
+        return out.set_column(at, "_sample", pa.array(np.concatenate(renumbered), out.schema.field(at).type))
+
+    signal = segments.over(x.signal, "_sample", _with_doubles(x, names), run)
     events = x.events.withColumns({c: F.ceil(F.col(c) / q).cast("int") for c in ("_initial", "_final")})
     return x._with(signal=signal, events=events, rate=x.rate / q)

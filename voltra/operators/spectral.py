@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Recording, Spectrum
+from ..plans import segments
 
 BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 12), "beta": (12, 30)}
 
 
 def welch(v: np.ndarray, rate: float, window: int, overlap: float, nfft: int) -> np.ndarray:
-    """One-sided density: mean over Hamming windows of the detrended (overall mean) signal."""
-    v = v - v.mean()
+    """One-sided density of each row: mean over Hamming windows of the detrended (overall mean) signal."""
+    v = v - v.mean(axis=1, keepdims=True)
     w = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(window) / max(1, window - 1))
     step = max(1, int(window * (1 - overlap)))
-    starts = range(0, max(1, len(v) - window + 1), step)
-    power = np.mean([np.abs(np.fft.rfft(v[s : s + window] * w, nfft)) ** 2 for s in starts], axis=0) / (rate * (w * w).sum())
-    power[1 : -1 if nfft % 2 == 0 else None] *= 2
+    frames = np.lib.stride_tricks.sliding_window_view(v, window, axis=1)[:, ::step]
+    power = np.zeros((len(v), nfft // 2 + 1))
+    for k in range(frames.shape[1]):
+        power += np.abs(np.fft.rfft(frames[:, k] * w, nfft, axis=1)) ** 2
+    power /= frames.shape[1] * rate * (w * w).sum()
+    power[:, 1 : -1 if nfft % 2 == 0 else None] *= 2
     return power
 
 
@@ -29,18 +33,19 @@ def psd(x: Recording, method: str = "welch", window: int | None = None, overlap:
         raise ValueError("the method must be welch")
     names, rate = x.channel_names, x.rate
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_sample")
-        w = min(len(pdf), window or 1 << int(np.ceil(np.log2(np.sqrt(len(pdf))))))
-        size = nfft or w
-        out = {"_id": pdf["_id"].iloc[0], "_freq": np.fft.rfftfreq(size, 1 / rate)}
-        for c in names:
-            v = pdf[c].to_numpy(float)
-            out[c] = np.full(size // 2 + 1, np.nan) if np.isnan(v).any() else welch(v, rate, w, overlap, size)
-        return pd.DataFrame(out)
+    def run(table, bounds):
+        v, ids, out = segments.values(table, names), table.column("_id").to_numpy(), []
+        for which, rows in segments.by_length(bounds):
+            n = rows.shape[1]
+            w = min(n, window or 1 << int(np.ceil(np.log2(np.sqrt(n)))))
+            size = nfft or w
+            power = welch(v[rows].transpose(0, 2, 1).reshape(-1, n), rate, w, overlap, size).reshape(len(which), len(names), -1)  # a null makes its channel null
+            freq = np.fft.rfftfreq(size, 1 / rate)
+            out.append(pa.table([pa.array(np.repeat(ids[rows[:, 0]], len(freq)), pa.int64()), pa.array(np.tile(freq, len(which))), *(segments.column(power[:, i].ravel()) for i in range(len(names)))], names=["_id", "_freq", *names]))
+        return pa.concat_tables(out)
 
-    table = x.signal.groupBy("_id").applyInPandas(run, "_id long, _freq double, " + ", ".join(f"`{c}` double" for c in names))
-    return Spectrum(table.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names}), None, x.segments, x.rate, {c: x.channels[c] for c in names})
+    table = segments.over(x.signal.select("_id", "_sample", *names), "_sample", "_id long, _freq double, " + ", ".join(f"`{c}` double" for c in names), run)
+    return Spectrum(table, None, x.segments, x.rate, {c: x.channels[c] for c in names})
 
 
 def simpson_weights(table: DataFrame, partition: list[str]) -> DataFrame:
