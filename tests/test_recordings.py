@@ -9,8 +9,9 @@ from voltra.functions import selectors as sel
 from voltra.functions import timing
 from voltra.model import EVENTS, Recording
 from voltra.operators import artifacts, dsp, ica, spectral, timeline, topography
-from voltra.plans.routing import na_mean, over
-from voltra.sources import brainvision, edf, synthetic
+from voltra.plans.routing import na_mean, names, over
+from voltra.sources import brainvision, edf, mne_bridge, synthetic
+from voltra.streaming import detectors
 
 
 def make(spark, columns, ids=(1,), first=1, events=(), conditions=None, rate=500):
@@ -372,3 +373,108 @@ def test_edf(spark, tmp_path):
 
 def test_generators():
     assert len(synthetic.rpink(200, seed=1)) == 200 and np.isfinite(synthetic.rpink(200, seed=1)).all()
+
+
+def test_text_and_literals_are_no_names(spark):
+    assert over("concat('max(', X, ')', '''avg(') || max(X)", [], []) == "concat('max(', X, ')', '''avg(') || max(X) OVER ()"
+    x = make(spark, {"X": [1, 2, 3, 4]}, (1, 2)).mutate(X="X + 1")
+    assert names(F.col("_recording") == "X") == {"_recording"} and names(F.when(F.expr("Y > 'Z'"), F.col("`A`")).otherwise(3)) == {"Y", "A"}
+    assert x.filter(F.col("condition") == "X").segments.count() == 0 and x.filter(F.col("condition") == "X").signal.count() == 0
+    assert x.mutate(t="concat('max(', condition, ')')").segments.filter("t = 'max(a)'").count() == 1
+
+
+def test_spectra_and_components_bind(spark, sines):
+    p = spectral.psd(sines)
+    both = spectral.Spectrum.bind(p, p)
+    assert both.events is None and both.signal.count() == 2 * p.signal.count() and both.segments.count() == 2
+    fitted = ica.fit(sines, "X1", "X2", "X3", ignore=None)
+    two = ica.IcaRecording.bind(fitted, fitted)
+    assert two.models.keys() == fitted.models.keys() and ica.show(two).signal.count() == 2000
+    a, w = fitted.models["recording1"][1:3]
+    again = ica.with_models(ica.without_models(fitted), {"recording1": (a, w)}, "X1", "X2", "X3")
+    assert not isinstance(ica.without_models(fitted), ica.IcaRecording)
+    assert np.allclose(values(ica.show(again), "ICA1"), values(ica.show(fitted), "ICA1"))
+    assert ica.summary_table(fitted, "X4", max_sample=500).count() == 3
+    with pytest.raises(ValueError):
+        ica.with_models(sines, {"recording1": (a, w)}, "X1")
+
+
+def test_components_have_a_model_for_each_recording(spark):
+    rng = np.random.RandomState(7)
+    rows, sources = [], {}
+    for i, r in ((1, "a"), (2, "b")):
+        sources[i] = np.column_stack([rng.laplace(size=600), np.sign(np.sin(np.arange(600) / 9))])
+        m = sources[i] @ rng.standard_normal((2, 2))
+        rows += [(i, s + 1, float(x), float(y)) for s, (x, y) in enumerate(m)]
+    x = Recording.from_df(spark.createDataFrame(rows, "_id long, _sample int, X double, Y double"), 100, segments=spark.createDataFrame([(1, "a"), (2, "b")], "_id long, _recording string"), channels={"X": {}, "Y": {}})
+    shown = ica.show(ica.fit(x, ignore=None))
+    for i in (1, 2):
+        got = np.array(values(shown.filter(f"_id = {i}"), "ICA1", "ICA2"))
+        c = np.abs(np.corrcoef(got.T, sources[i].T)[:2, 2:])
+        assert c.max(0).min() > 0.95
+
+
+def test_numbers_over_whole_tables(spark):
+    from voltra.plans import numbering
+
+    rng = np.random.RandomState(8)
+    ids = rng.choice(100_000, 300, replace=False)
+    t = spark.createDataFrame([(int(i), int(i) % 7) for i in ids], "_id long, n long")
+    got = {r._id: r.at for r in numbering.before(t, "_id", "n", "at").collect()}
+    order = sorted(ids.tolist())
+    assert got == {i: sum(j % 7 for j in order[:k]) for k, i in enumerate(order)}
+    rows = spark.createDataFrame([(int(i), k) for i in ids[:40] for k in range(3)], "_id long, k int")
+    assert [tuple(r) for r in numbering.numbered(rows, "_id", ["k"], "at").orderBy("at").select("_id", "k", "at").collect()] == [(i, k, 3 * n + k + 1) for n, i in enumerate(sorted(ids[:40].tolist())) for k in range(3)]
+
+
+def test_limits_of_each_event(data0):
+    wide = data0._with(events=data0.events.withColumn("rt", F.when(F.col("_initial") == 6, 2.0).otherwise(4.0)))
+    got = timeline.segment(wide, "_type = 'Time 0'", lim=(0, "rt"), unit="samples")
+    assert got.signal.groupBy("_id").count().orderBy("_id").collect() == [(1, 3), (2, 5)]
+    assert got.segments.count() == 2 and "rt" in got.segments.columns
+
+
+def test_warnings_of_options_without_effect(sincos):
+    with pytest.warns(UserWarning, match="preserve"):
+        sincos.filter("X > 0", preserve=True)
+    with pytest.warns(UserWarning, match="_groups"):
+        sincos.summarize(_groups="drop", m=F.avg("X"))
+    assert list(sincos.across([F.abs, F.sqrt], "X")) == ["X_1", "X_2"] and list(sincos.across(F.upper, "condition")) == ["condition"]
+    assert sincos.mutate(**sincos.across_ch({"twice": lambda c: c * 2}, "Y")).channel_names == ["X", "Y", "Y_twice"]
+    assert sincos.transmute(m=chf.c_across_ch(sincos, "max")).channel_names == ["m"]
+    part = chf.chs_fun(sincos, {"big": lambda a, least: F.size(F.filter(a, lambda v: v > least)).cast("double")}, least=2.0)
+    assert part.signal.agg(F.max("big")).first()[0] == 0 and sincos.pull("X").count() == 30
+    assert topography.plot_data(sincos).count() == 60 and topography.event_data(sincos).filter("_key = 'X'").count() == 8
+
+
+class _Raw:
+    """The interface of a raw recording."""
+
+    ch_names = ["Fz", "Cz", "STI"]
+    info = {"sfreq": 10.0, "bads": ["Cz"], "chs": [{"ch_name": "Fz", "loc": [1.0, 2.0, 3.0, 0.0]}, {"ch_name": "Cz", "loc": [0.0, 0.0, 0.0]}]}
+    annotations = [{"description": "Stimulus/S1", "onset": 0.5, "duration": 0.2}]
+
+    def get_channel_types(self):
+        return ["eeg", "eeg", "stim"]
+
+    def get_data(self, picks):
+        return np.arange(40.0).reshape(2, 20)
+
+
+def test_recordings_from_objects(spark):
+    x = mne_bridge.from_mne(spark, _Raw())
+    assert x.channel_names == ["Fz", "Cz"] and x.rate == 10 and x.channels["Fz"] == {"_x": 1.0, "_y": 2.0, "_z": 3.0} and x.channels["Cz"].get("_x") is None
+    assert sorted((e._type, e._description, e._initial, e._final, e._channel or "") for e in x.events.collect()) == [("Stimulus", "S1", 6, 7, ""), ("artifact", "bad", 1, 20, "Cz")]
+    assert values(x, "Fz", "Cz") == [(float(i), 20.0 + i) for i in range(20)]
+
+
+def test_detection_on_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [("r", at + dt.timedelta(milliseconds=100 * i), 0.0 if i < 25 else float(i % 2) * 9, 1.0) for i in range(40)] + [("r", at + dt.timedelta(minutes=1), 0.0, 1.0)]
+    spark.createDataFrame(rows, "_recording string, _ts timestamp, X double, Y double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = detectors.stream_minmax(spark.readStream.schema("_recording string, _ts timestamp, X double, Y double").parquet(str(tmp_path / "in")), ["X", "Y"], 5.0, late="1 second")
+    q = found.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.window.start.second, r._channel, r["range"]) for r in spark.table("found").collect()) == [(2, "X", 9.0), (3, "X", 9.0)]

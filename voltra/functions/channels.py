@@ -18,14 +18,14 @@ def row_mean(names: list[str], na_rm: bool = False) -> Column:
     return F.try_divide(total, n)
 
 
-def row_apply(names: list[str], fn: str | Callable[[Column], Column]) -> Column:
-    """A named function (mean, sum, min, max, var, sd, median) or one over the array of the channels."""
+def row_apply(names: list[str], fn: str | Callable[..., Column], **pars) -> Column:
+    """A named function (mean, sum, min, max, var, sd, median) or one over the array of the channels and ``pars``."""
     a = F.array(*[F.col(c) for c in names])
     total = F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     mean = total / len(names)
     var = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / (len(names) - 1) if len(names) > 1 else F.lit(None).cast("double")
     known = {"mean": mean, "sum": total, "min": F.array_min(a), "max": F.array_max(a), "var": var, "sd": F.sqrt(var), "median": (lambda s: (F.get(s, F.lit((len(names) - 1) // 2)) + F.get(s, F.lit(len(names) // 2))) / 2)(F.array_sort(a))}
-    return known[fn] if isinstance(fn, str) else fn(a)
+    return known[fn] if isinstance(fn, str) else fn(a, **pars)
 
 
 def chs_mean(x: Recording, *channels, na_rm: bool = False) -> Recording:
@@ -35,10 +35,11 @@ def chs_mean(x: Recording, *channels, na_rm: bool = False) -> Recording:
     return x._with(signal=x.signal.select(*x.keys, row_mean(names, na_rm).alias("mean")), channels={"mean": {}}, events=events)
 
 
-def chs_fun(x: Recording, fns: dict[str, str | Callable], *channels) -> Recording:
+def chs_fun(x: Recording, fns: dict[str, str | Callable], *channels, **pars) -> Recording:
+    """The channels replaced by one for each function; ``pars`` go to those that are callables."""
     names = sel.resolve(x.channel_names, *channels)
     events = None if x.events is None else x.events.filter("_channel is null")
-    return x._with(signal=x.signal.select(*x.keys, *[row_apply(names, f).alias(k) for k, f in fns.items()]), channels={k: {} for k in fns}, events=events)
+    return x._with(signal=x.signal.select(*x.keys, *[row_apply(names, f, **pars).alias(k) for k, f in fns.items()]), channels={k: {} for k in fns}, events=events)
 
 
 def rereference(x: Recording, *channels, ref: list[str], na_rm: bool = False) -> Recording:

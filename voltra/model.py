@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from .functions import selectors as sel
 from .functions.timing import as_time, scaling
 from .plans import routing
+from .plans.numbering import numbered
 
 EVENTS = "_id long, _type string, _description string, _initial int, _final int, _channel string"
 
 
 class Recording:
     """``signal`` (_id, _sample, channels…), ``events`` (_id, _type, _description, _initial, _final, _channel) and
-    ``segments`` (_id, _recording, …). Every verb returns a new object; nothing runs until a result is asked for."""
+    ``segments`` (_id, _recording, …). Every verb returns a new object; nothing runs until a result is asked for, but for counts of
+    what a join by intervals may broadcast."""
 
     order = "_sample"
 
@@ -245,9 +247,21 @@ class Recording:
             return {f"{c}_{k}": f(F.col(c)) for c in names for k, f in fn.items()}
         return {c: fn(F.col(c)) for c in names}
 
+    def across(self, fns: Callable[[Column], Column] | dict[str, Callable] | list[Callable], *wanted) -> dict[str, Column]:
+        """One expression for each column wanted, of the signal or the segments: named like it, or (a dict of functions)
+        column_name, or (a list) column_1, column_2, …"""
+        names = sel.resolve(self.vars + self.segment_vars, *wanted)
+        if isinstance(fns, list):
+            fns = {str(i): f for i, f in enumerate(fns, 1)}
+        if isinstance(fns, dict):
+            return {f"{c}_{k}": f(F.col(c)) for c in names for k, f in fns.items()}
+        return {c: fns(F.col(c)) for c in names}
+
     # -- rows ----------------------------------------------------------------------------------------------------
-    def filter(self, *conditions) -> Recording:
+    def filter(self, *conditions, preserve: bool = False) -> Recording:
         """Rows of the signal (events are cut to what stays) or, for conditions on segments alone, whole segments."""
+        if preserve:
+            warnings.warn("groups are names and always stay: preserve has no effect", stacklevel=2)
         main = [c for c in conditions if routing.names(c) & set(self.signal.columns) - {"_id"}]
         rest = [c for c in conditions if c not in main]
         out = self
@@ -272,9 +286,7 @@ class Recording:
             nth = F.row_number().over(Window.partitionBy(*part).orderBy(*self.keys))
             signal = wide.withColumn("_nth", nth)
         else:  # positions over the whole table without one task: ids are counted, then rows inside an id
-            sizes = self.signal.groupBy("_id").agg(F.count("*").alias("_n"))
-            starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            signal = wide.withColumn("_in", F.row_number().over(Window.partitionBy("_id").orderBy(self.order))).join(starts.select("_id", "_before"), "_id").withColumn("_nth", F.col("_in") + F.col("_before"))
+            signal = numbered(wide, "_id", [self.order], "_nth")
         signal = signal.filter(F.col("_nth").between(first, last)).select(*self.signal.columns)
         return self._with(signal=signal, events=self._clip(signal), segments=self.segments.join(signal.select("_id").distinct(), "_id", "left_semi"))
 
@@ -309,9 +321,11 @@ class Recording:
     def ungroup(self) -> Recording:
         return self._with(groups=())
 
-    def summarize(self, **aggregates) -> Recording:
+    def summarize(self, _groups: str | None = None, **aggregates) -> Recording:
         """One row a group. Without _id among the groups each combination of the segment-side groups becomes a new
         segment; events are emptied."""
+        if _groups is not None:
+            warnings.warn("groups always stay as they are: _groups has no effect", stacklevel=2)
         by = list(self.groups)
         aggregates = {k: routing.column(a, [], []) if not isinstance(a, str) else F.expr(a) for k, a in aggregates.items()}
         flat = self.extended(set(by)).groupBy(*by).agg(*[a.alias(k) for k, a in aggregates.items()])
@@ -337,23 +351,31 @@ class Recording:
     # -- sets ----------------------------------------------------------------------------------------------------
     @classmethod
     def bind(cls, *parts: Recording) -> Recording:
-        """All rows of all parts; ids are numbered anew by part and id, once, for the three tables."""
+        """All rows of all parts; ids are numbered anew by part and id, once, for the three tables. Spectra have no events.
+        Models of components go along (of recordings with one name, the last part's)."""
         rate = {p.rate for p in parts}
         if len(rate) > 1:
             raise ValueError(f"sampling rates differ: {sorted(rate)}")
         if len({tuple(sorted(p.channels)) for p in parts}) > 1:
             warnings.warn("channels differ; missing ones are null", stacklevel=2)
         segments = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.segments.withColumn("_src", F.lit(i)) for i, p in enumerate(parts)])
-        ids = segments.select("_src", "_id").distinct().withColumn("_new", F.row_number().over(Window.orderBy("_src", "_id")).cast("long"))  # segments only
+        seen = segments.select("_src", "_id").distinct()
+        counts = {r["_src"]: r["n"] for r in seen.groupBy("_src").agg(F.count("*").alias("n")).collect()}  # a row a part
+        ids = reduce(lambda a, b: a.unionByName(b), [numbered(seen.filter(F.col("_src") == i), "_id", ["_src"], "_new").withColumn("_new", F.col("_new") + sum(counts.get(k, 0) for k in range(i))) for i in range(len(parts))])
 
         def join(get):
+            if any(get(p) is None for p in parts):
+                return None
             t = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [get(p).withColumn("_src", F.lit(i)) for i, p in enumerate(parts)])
             return t.join(ids, ["_src", "_id"]).drop("_src", "_id").withColumnRenamed("_new", "_id")
 
         signal, events, segs = join(lambda p: p.signal), join(lambda p: p.events), join(lambda p: p.segments)
         front = lambda t, *k: t.select(*k, *[c for c in t.columns if c not in k])
         channels = reduce(lambda a, b: b | a, [p.channels for p in parts])
-        return cls(front(signal, "_id", "_sample"), front(events, "_id"), front(segs, "_id", "_recording"), rate.pop(), channels)
+        out = type(parts[0])(front(signal, "_id", parts[0].order), None if events is None else front(events, "_id"), front(segs, "_id", "_recording"), rate.pop(), channels)
+        if hasattr(parts[0], "models"):
+            out.models = reduce(lambda a, b: a | b, [p.models for p in parts])
+        return out
 
     # -- output --------------------------------------------------------------------------------------------------
     def to_long(self, unit: str = "s") -> DataFrame:

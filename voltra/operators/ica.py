@@ -25,8 +25,8 @@ class IcaRecording(Recording):
 
     models: dict[str, tuple[list[str], np.ndarray, np.ndarray, list[str]]]
 
-    def filter(self, *conditions) -> IcaRecording:
-        out = super().filter(*conditions)
+    def filter(self, *conditions, preserve: bool = False) -> IcaRecording:
+        out = super().filter(*conditions, preserve=preserve)
         left = {r["_recording"] for r in out.segments.select("_recording").distinct().collect()}
         return out._with(models={k: v for k, v in self.models.items() if k in left})
 
@@ -116,26 +116,44 @@ def _centred(x: IcaRecording) -> tuple[DataFrame, list[str]]:
     return x.signal.join(x.segments.select("_id", "_recording"), "_id").join(means, "_recording"), names
 
 
-def _linear(x: IcaRecording, names: list[str], weights: dict[str, np.ndarray], scale: float = 1.0) -> list[Column]:
+def _weighted(wide: DataFrame, **weights: dict[str, np.ndarray]) -> DataFrame:
+    """``wide`` with a column of matrices (a list for each result) by recording: one join, whatever the number of models."""
+    rows = [(r, *[w[r].T.tolist() for w in weights.values()]) for r in next(iter(weights.values()))]
+    table = wide.sparkSession.createDataFrame(rows, "_recording string, " + ", ".join(f"{k} array<array<double>>" for k in weights))
+    return wide.join(table, "_recording", "left")
+
+
+def _linear(names: list[str], size: int, weights: str = "_w", scale: float = 1.0) -> list[Column]:
     """Columns Σ (channel − mean)·weight, with the weights of the row's recording."""
-    size = next(iter(weights.values())).shape[1]
-    out = []
-    for j in range(size):
-        e = F.lit(None).cast("double")
-        for r, w in weights.items():
-            total = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_m_{c}")) * float(w[i, j] * scale) for i, c in enumerate(names)])
-            e = F.when(F.col("_recording") == r, total).otherwise(e)
-        out.append(e)
+    one = lambda j: reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_m_{c}")) * F.get(F.get(weights, F.lit(j)), F.lit(i)) for i, c in enumerate(names)])
+    return [one(j) * scale for j in range(size)]
+
+
+def with_models(x: Recording, models: dict[str, tuple[np.ndarray, np.ndarray]], *channels) -> IcaRecording:
+    """``x`` with given models: recording → (mixing, unmixing) for the channels."""
+    names = sel.resolve(x.channel_names, *channels)
+    out = IcaRecording(x.signal, x.events, x.segments, x.rate, x.channels, x.groups)
+    out.models = {}
+    for r, (a, w) in models.items():
+        a, w = np.asarray(a, float), np.asarray(w, float)
+        if w.shape[0] != len(names) or a.shape != w.T.shape:
+            raise ValueError(f"the matrices of {r} are not those of {len(names)} channels")
+        out.models[r] = (names, a, w, [f"ICA{i + 1}" for i in range(w.shape[1])])
     return out
 
 
+def without_models(x: IcaRecording) -> Recording:
+    """The recording alone; components shown stay as ordinary columns of it."""
+    return Recording(x.signal, x.events, x.segments, x.rate, x.channels, x.groups)
+
+
 def show(x: IcaRecording, *components) -> IcaRecording:
     """Components as further columns."""
     wide, names = _centred(x)
     all_ = next(iter(x.models.values()))[3]
     chosen = sel.resolve(all_, *components)
-    exprs = _linear(x, names, {r: m[2] for r, m in x.models.items()}, COMPONENT_SCALE)
-    signal = wide.select(*x.signal.columns, *[exprs[all_.index(c)].alias(c) for c in chosen])
+    exprs = _linear(names, len(all_), scale=COMPONENT_SCALE)
+    signal = _weighted(wide, _w={r: m[2] for r, m in x.models.items()}).select(*x.signal.columns, *[exprs[all_.index(c)].alias(c) for c in chosen])
     return x._with(signal=signal, channels=x.channels | {c: {"kind": "component"} for c in chosen})
 
 
@@ -149,16 +167,16 @@ def keep(x: IcaRecording, *components, **by_recording) -> IcaRecording:
         at = [comps.index(c) for c in chosen]
         parts[r] = w[:, at] @ a[at]
         models[r] = (chs, a[at], w[:, at], chosen)
-    exprs = _linear(x, names, parts)
+    exprs = _linear(names, len(names))
     back = {c: e + F.col(f"_m_{c}") for c, e in zip(names, exprs, strict=True)}
-    signal = wide.withColumns({f"_r_{c}": e for c, e in back.items()}).select(*[F.col(f"_r_{c}").alias(c) if c in back else c for c in x.signal.columns if c not in x.component_names])
+    signal = _weighted(wide, _w=parts).withColumns({f"_r_{c}": e for c, e in back.items()}).select(*[F.col(f"_r_{c}").alias(c) if c in back else c for c in x.signal.columns if c not in x.component_names])
     return x._with(signal=signal, models=models, channels={c: v for c, v in x.channels.items() if v.get("kind") != "component"})
 
 
-def cor_table(x: IcaRecording, *eog: str) -> DataFrame:
+def cor_table(x: IcaRecording, *eog: str, max_sample: int | None = None) -> DataFrame:
     """_recording, _ica, _eog, cor: correlation of each component with each eye channel, strongest first."""
     eog = eog or tuple(c for c in x.channel_names if c.lower().startswith("eog") or c.lower().endswith("eog"))
-    shown = show(x)
+    shown = show(_thinned(x, max_sample))
     comps = shown.component_names
     wide = shown.signal.join(x.segments.select("_id", "_recording"), "_id").dropna(subset=[*comps, *eog])
     flat = wide.groupBy("_recording").agg(*[F.corr(c, e).alias(f"{c}|{e}") for c in comps for e in eog])
@@ -167,24 +185,26 @@ def cor_table(x: IcaRecording, *eog: str) -> DataFrame:
     return long.select("_recording", parts[0].alias("_ica"), parts[1].alias("_eog"), "cor").orderBy(F.desc(F.abs("cor")))
 
 
-def var_table(x: IcaRecording) -> DataFrame:
+def _thinned(x: IcaRecording, max_sample: int | None) -> IcaRecording:
+    if not max_sample:
+        return x
+    from .dsp import downsample
+
+    return downsample(x, max_sample=max_sample)
+
+
+def var_table(x: IcaRecording, max_sample: int | None = None) -> DataFrame:
     """_recording, _ica, var: share of the variance a component explains, largest first; from sums over channels, as the
     mean of a covariance matrix is the variance of the row mean."""
-    wide, names = _centred(x)
+    wide, names = _centred(_thinned(x, max_sample))
     total = row_mean(names)
     comps = next(iter(x.models.values()))[3]
-    w = {r: m[2] for r, m in x.models.items()}
-    exprs = _linear(x, names, w)
-    out = []
-    for k, c in enumerate(comps):
-        share = F.lit(None).cast("double")
-        for r, m in x.models.items():
-            share = F.when(F.col("_recording") == r, exprs[k] * float(m[1][k].mean())).otherwise(share)
-        rest = share + reduce(lambda a, b: a + b, [F.col(f"_m_{n}") for n in names]) / len(names) - total
-        out.append((1 - F.var_samp(rest) / F.var_samp(total)).alias(c))
-    flat = wide.dropna(subset=names).groupBy("_recording").agg(*out)
+    wide = _weighted(wide, _w={r: m[2] for r, m in x.models.items()}, _a={r: m[1].mean(1)[:, None] for r, m in x.models.items()})
+    middle = reduce(lambda a, b: a + b, [F.col(f"_m_{n}") for n in names]) / len(names)
+    rest = [e * F.get(F.get("_a", F.lit(0)), F.lit(k)) + middle - total for k, e in enumerate(_linear(names, len(comps)))]
+    flat = wide.dropna(subset=names).groupBy("_recording").agg(*[(1 - F.var_samp(r) / F.var_samp(total)).alias(c) for c, r in zip(comps, rest, strict=True)])
     return flat.unpivot(["_recording"], comps, "_ica", "var").orderBy(F.desc("var"))
 
 
-def summary_table(x: IcaRecording, *eog: str) -> DataFrame:
-    return cor_table(x, *eog).join(var_table(x), ["_recording", "_ica"]).orderBy(F.desc("var"), F.desc(F.abs("cor")))
+def summary_table(x: IcaRecording, *eog: str, max_sample: int | None = None) -> DataFrame:
+    return cor_table(x, *eog, max_sample=max_sample).join(var_table(x, max_sample), ["_recording", "_ica"]).orderBy(F.desc("var"), F.desc(F.abs("cor")))

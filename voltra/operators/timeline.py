@@ -7,9 +7,9 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import clamp, scaling
+from ..functions.timing import LIMIT, clamp, scaling
 from ..model import Recording
-from ..plans import rangejoin, routing
+from ..plans import numbering, rangejoin
 
 
 def _cut_events(x: Recording, spans: DataFrame) -> DataFrame:
@@ -22,15 +22,22 @@ def _cut_events(x: Recording, spans: DataFrame) -> DataFrame:
 
 def segment(x: Recording, where: Column | str, lim: tuple[float, float] = (-0.5, 0.5), end: Column | str | None = None, unit: str = "s") -> Recording:
     """Segments around each event that ``where`` picks: ``lim`` before and after it (inclusive), or up to the next
-    event that ``end`` picks. Sample 1 is the event; segments may overlap. Facts of the event go to the segments."""
+    event that ``end`` picks. Sample 1 is the event; segments may overlap. Facts of the event go to the segments. A limit
+    may be an expression over the columns of the events, so that each event has limits of its own."""
     pick = F.expr(where) if isinstance(where, str) else where
     anchors = x.events.filter(pick).drop("_channel", "_final").distinct().withColumn("_first", F.col("_initial"))
     if end is None:
-        if lim[1] < lim[0]:
-            raise ValueError("the second limit is below the first")
         scale = scaling(x.rate, unit)
-        low, high = (clamp(v * scale) for v in lim)
-        spans = anchors.withColumns({"_lower": (F.col("_first").cast("long") + low), "_upper": (F.col("_first").cast("long") + high)})
+        own = [isinstance(v, (Column, str)) for v in lim]
+        if not any(own) and lim[1] < lim[0]:
+            raise ValueError("the second limit is below the first")
+        far = F.lit(float(LIMIT))
+        low, high = (F.greatest(-far, F.least(far, F.rint((F.expr(v) if isinstance(v, str) else v) * scale))).cast("long") if o else F.lit(clamp(v * scale)) for v, o in zip(lim, own, strict=True))
+        if any(own):  # from the events themselves, which may have further columns
+            anchors = x.events.filter(pick).withColumns({"_low": low, "_high": high}).drop("_channel", "_final").distinct().withColumn("_first", F.col("_initial"))
+            low, high = F.col("_low"), F.col("_high")
+        spans = anchors.withColumns({"_lower": F.col("_first").cast("long") + low, "_upper": F.col("_first").cast("long") + high}).drop("_low", "_high")
+        anchors = anchors.drop("_low", "_high")
     else:
         stop = F.expr(end) if isinstance(end, str) else end
         marks = x.events.filter(pick | stop).withColumn("_start", F.coalesce(pick, F.lit(False))).select("_id", "_initial", "_start").distinct()
@@ -40,8 +47,7 @@ def segment(x: Recording, where: Column | str, lim: tuple[float, float] = (-0.5,
         spans = anchors.join(matched, ["_id", "_first"]).withColumns({"_lower": F.col("_first").cast("long"), "_upper": F.coalesce("_end", F.col("_first") - 1).cast("long"), "_type": F.when(F.col("_end").isNull(), "incorrect segment").otherwise(F.col("_type"))}).drop("_end")
     bounds = x.signal.groupBy("_id").agg(F.min("_sample").alias("_a"), F.max("_sample").alias("_z"))
     order = ["_id", "_first", *[c for c in anchors.columns if c not in ("_id", "_initial", "_first")]]
-    # numbered over the anchors alone, a table of markers
-    spans = spans.withColumn("_new", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    spans = numbering.numbered(spans, "_id", order[1:], "_new")
     spans = spans.join(bounds, "_id").withColumns({"_lower": F.greatest("_lower", "_a").cast("int"), "_upper": F.least("_upper", "_z").cast("int")}).drop("_a", "_z")
     real = spans.filter("_lower <= _upper")
     hit = rangejoin.within(x.signal, "_sample", real.select("_id", "_new", "_first", "_lower", "_upper"), "_lower", "_upper", ["_id"])
@@ -59,8 +65,7 @@ def segment(x: Recording, where: Column | str, lim: tuple[float, float] = (-0.5,
 def unsegment(x: Recording) -> Recording:
     """One id with all segments one after the other; a New Segment event starts each, and Time 0 marks its zero."""
     ends = x.signal.groupBy("_id").agg(F.min("_sample").alias("_lo"), (F.max("_sample") - F.min("_sample") + 1).alias("_n"))
-    w = Window.orderBy("_id")  # a row a segment
-    at = ends.withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = numbering.before(ends, "_id", "_n", "_off")
     shift = at.select("_id", (F.col("_off") - F.col("_lo") + 1).alias("_by"), "_off", "_n", "_lo")
     move = lambda t, cols: t.join(shift.select("_id", "_by"), "_id").withColumns({c: (F.col(c) + F.col("_by")).cast("int") for c in cols} | {"_id": F.lit(1).cast("long")})
     new = lambda kind, sample: shift.select(F.lit(1).cast("long").alias("_id"), F.lit(kind).alias("_type"), F.lit(None).cast("string").alias("_description"), sample.cast("int").alias("_initial"), sample.cast("int").alias("_final"), F.lit(None).cast("string").alias("_channel"))
@@ -102,6 +107,3 @@ def events_to_na(x: Recording, where: Column | str, n_chs: int | None = None, en
     clean = wide.withColumns({c: F.when(~F.coalesce(F.col("_all") | F.array_contains("_bad", c), F.lit(False)), F.col(c)) for c in x.channel_names})
     return x._with(signal=clean.select(*x.signal.columns), events=x.events.filter(~pick) if drop_events else x.events)
 
-
-def names_of(e) -> set[str]:
-    return routing.names(e)

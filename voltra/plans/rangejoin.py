@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Intervals that may be broadcast; they are counted first.
+#: Rows of intervals, one for each bucket they touch, that may be broadcast; they are counted first (a job of its own).
 BROADCAST_ROWS = 100_000
 
 
@@ -16,7 +16,8 @@ def within(points: DataFrame, at: str, spans: DataFrame, low: str, high: str, ke
     for k in keys:
         s = s.withColumnRenamed(k, f"_k_{k}")
     s = s.withColumnRenamed("_b", "_kb")
-    if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows = F.floor(F.col(high) / width) - F.floor(F.col(low) / width) + 1
+    if (spans.agg(F.sum(rows)).first()[0] or 0) <= BROADCAST_ROWS:  # what the explosion makes, not what it is made from
         s = F.broadcast(s)
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_kb"), F.col(at).between(F.col(low), F.col(high))]
     cond = on[0]

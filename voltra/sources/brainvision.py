@@ -115,9 +115,12 @@ def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'"
                 else:
                     flat = np.frombuffer(bytes(content), _KINDS[kind]).astype(float)
                     m = (flat.reshape(-1, n) if multi else flat.reshape(n, -1).T) * scale
-                yield pd.DataFrame(m, columns=names).assign(_sample=np.arange(1, len(m) + 1, dtype=np.int32))[["_sample", *names]]
+                sample = np.arange(1, len(m) + 1)
+                k = np.searchsorted(bounds[:, 1], sample, side="right") - 1  # the segment a sample lies in
+                ok = k >= 0
+                k, m, sample = k[ok], m[ok], sample[ok]
+                yield pd.DataFrame(m, columns=names).assign(_id=bounds[k, 0], _sample=(sample - bounds[k, 2] + 1).astype(np.int32))[["_id", "_sample", *names]]
 
-    raw = spark.read.format("binaryFile").load(local(head["data"])).select("content").mapInPandas(decode, "_sample int, " + ", ".join(f"`{c}` double" for c in names))
     marks = read_markers(_text(_read(spark, local(head["markers"])))) if head["markers"] else []
     rows = [(1, t, d, i, f, names[c - 1] if 0 < c <= n else None) for t, d, i, f, c in marks]
     events = spark.createDataFrame(rows, EVENTS)
@@ -130,7 +133,8 @@ def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'"
         stop = starts[i + 1] - 1 if i + 1 < len(starts) else 2_000_000_000
         spans.append((i + 1, s, next((z for z in zeros if s <= z <= stop), s), stop))
     spans_df = spark.createDataFrame(spans, "_new long, _lower int, _first int, _upper int")
-    signal = raw.join(F.broadcast(spans_df), F.col("_sample").between(F.col("_lower"), F.col("_upper"))).select(F.col("_new").alias("_id"), (F.col("_sample") - F.col("_first") + 1).alias("_sample"), *names)
+    bounds = np.array(spans, np.int64)
+    signal = spark.read.format("binaryFile").load(local(head["data"])).select("content").mapInPandas(decode, "_id long, _sample int, " + ", ".join(f"`{c}` double" for c in names))
     cut = events.drop("_id").join(F.broadcast(spans_df), (F.col("_initial") <= F.col("_upper")) & (F.col("_final") >= F.col("_lower"))).select(F.col("_new").alias("_id"), "_type", "_description", (F.greatest("_initial", "_lower") - F.col("_first") + 1).alias("_initial"), (F.least("_final", "_upper") - F.col("_first") + 1).alias("_final"), "_channel")
     segments = spark.createDataFrame([(i, recording or stem, i) for i, *_ in spans], "_id long, _recording string, segment int")
     return Recording(signal, cut, segments, head["rate"], head["channels"])

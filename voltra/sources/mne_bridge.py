@@ -25,7 +25,10 @@ def from_mne(spark: SparkSession, raw, recording: str = "recording1") -> Recordi
         rows.append((1, kind, text or None, first, first + max(0, round(a["duration"] * rate) - 1), None))
     rows += [(1, "artifact", "bad", 1, len(table), c) for c in raw.info.get("bads", []) if c in names]
     segments = spark.createDataFrame([(1, recording, 1)], "_id long, _recording string, segment int")
-    return Recording.from_df(spark.createDataFrame(table), rate, spark.createDataFrame(rows, EVENTS), segments, {c: {} for c in names})
+    places = {c["ch_name"]: [float(v) for v in c["loc"][:3]] for c in raw.info.get("chs", [])}
+    known = lambda p: p is not None and all(np.isfinite(p)) and any(p)
+    channels = {c: dict(zip(("_x", "_y", "_z"), places[c], strict=True)) if known(places.get(c)) else {} for c in names}
+    return Recording.from_df(spark.createDataFrame(table), rate, spark.createDataFrame(rows, EVENTS), segments, channels)
 
 
 def read_fif(spark: SparkSession, path: str, recording: str | None = None) -> Recording:
