@@ -60,6 +60,33 @@ def _sql(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([BASE, *ctes]) + "\n" + body
 
 
+def _iir_sql(low: float | None, high: float | None, kind: str, order: int | None, rp: float, keep: str = "true", sample: str = "_sample") -> str:
+    """Sections of the design run over the samples one after the other, forward and then backward, from odd reflections."""
+    sections = dsp.iir(500.0, low, high, kind, order, rp)
+    pad, k = min(3 * (2 * len(sections) + 1), 63), len(sections)
+
+    def one(name: str, source: str, first: int, last: int, step: int) -> str:
+        states, level = [], 1.0
+        for i, (b, a) in enumerate(sections):
+            gain = b.sum() / a.sum()
+            states += [f"{level * (gain - b[0])!r} * x AS p{i}", f"{level * (b[2] - a[2] * gain)!r} * x AS q{i}"]
+            level *= gain
+        states = [x.replace("np.float64(", "").replace(")", "") for x in states]
+        inner = f"SELECT r._id, r.c, r.j + {step} AS j, e.x AS y0, {', '.join(f'p{i}, q{i}' for i in range(k))} FROM {name} r JOIN {source} e ON r._id = e._id AND r.c = e.c AND e.j = r.j + {step}"
+        for i, (b, a) in enumerate(sections):
+            inner = f"SELECT *, {float(b[0])!r} * y{i} + p{i} AS y{i + 1} FROM ({inner})"
+        news = ", ".join(f"{float(b[1])!r} * y{i} - {float(a[1])!r} * y{i + 1} + q{i}, {float(b[2])!r} * y{i} - {float(a[2])!r} * y{i + 1}" for i, (b, a) in enumerate(sections))
+        return f"{name} AS (SELECT _id, c, {first - step} AS j, 0.0::DOUBLE AS x, {', '.join(states)} FROM {source} WHERE j = {first} UNION ALL SELECT _id, c, j, y{k}, {news} FROM ({inner}))"
+
+    ctes = [
+        "l AS (SELECT _id, _sample + 9 AS i, 'X' AS c, X AS v FROM sig UNION ALL SELECT _id, _sample + 9, 'Y', Y FROM sig)",
+        f"e AS (SELECT l._id, l.c, j, CASE WHEN j < 0 THEN 2 * a.v - l.v WHEN j > 63 THEN 2 * z.v - l.v ELSE l.v END AS x FROM (SELECT unnest(range({-pad}, {64 + pad})) AS j) JOIN l ON l.i = CASE WHEN j < 0 THEN -j WHEN j > 63 THEN 126 - j ELSE j END JOIN l a ON a._id = l._id AND a.c = l.c AND a.i = 0 JOIN l z ON z._id = l._id AND z.c = l.c AND z.i = 63)",
+        one("f", "e", -pad, 63 + pad, 1),
+        one("g", f"(SELECT _id, c, j, x FROM f WHERE j >= {-pad})", 63 + pad, -pad, -1),
+    ]
+    return f"WITH RECURSIVE {', '.join([BASE, *ctes])} SELECT _id, {sample} AS _sample, round(any_value(CASE WHEN c = 'X' THEN x END), 6) + 0.0 AS X, round(any_value(CASE WHEN c = 'Y' THEN x END), 6) + 0.0 AS Y FROM (SELECT *, (j - 9)::INT AS _sample FROM g) WHERE j BETWEEN 0 AND 63 AND {keep} GROUP BY ALL"
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -250,7 +277,17 @@ def artif_amplitude(spark, d):
     return artifacts.artif_amplitude(dense(spark, d), threshold=(0.25, -0.3), lim=(-1, 1), unit="samples").events.filter("_type = 'artifact'").select(*_EVENTS)
 
 
-@_query()
+@_query(
+    _sql(
+        _RUNS,
+        _LONG,
+        "d AS (SELECT *, v > lag(v) OVER w AS up, lead(v) OVER w < v AS down FROM l WINDOW w AS (PARTITION BY _id, c ORDER BY _sample))",
+        "ft AS (SELECT *, last_value(CASE WHEN up IS NOT TRUE THEN v END IGNORE NULLS) OVER (PARTITION BY _id, c ORDER BY _sample ROWS UNBOUNDED PRECEDING) AS a, first_value(CASE WHEN down IS NOT TRUE THEN v END IGNORE NULLS) OVER (PARTITION BY _id, c ORDER BY _sample ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM d)",
+        "pk AS (SELECT _id, c, list(_sample ORDER BY v DESC, _sample) AS s FROM ft WHERE up AND down AND v >= 0.25 AND v - greatest(a, b) >= 0.0001 GROUP BY _id, c)",
+        "kp AS (SELECT _id, c, list_reduce(list_transform(s, lambda x: [x]), lambda k, x: CASE WHEN len(list_filter(k, lambda q: abs(q - x[1]) < 4)) > 0 THEN k ELSE list_concat(k, x) END) AS s FROM pk)",
+        *_merge("SELECT _id, c, unnest(s) AS _sample, true AS hit FROM kp", -1, 1),
+    )
+)
 def artif_peak(spark, d):
     return artifacts.artif_peak(dense(spark, d), threshold=0.25, window=4, lim=(-1, 1), unit="samples").events.filter("_type = 'artifact'").select(*_EVENTS)
 
@@ -285,17 +322,25 @@ def plot_limits(spark, d):
     return topography.plot_limits(dense(spark, d)).select("_key", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@_query()
+@_query(
+    _sql(
+        "SELECT _id, (i - 9)::INT AS _sample, round(sum(X * h), 6) + 0.0 AS X, round(sum(Y * h), 6) + 0.0 AS Y FROM (SELECT unnest(range(64)) AS i) JOIN taps ON true JOIN e ON j = i + 55 - t GROUP BY _id, i",
+        "raw AS (SELECT t, CASE WHEN t = 55 THEN 1.0 ELSE sin(pi() * 0.27 * (t - 55)) / (pi() * 0.27 * (t - 55)) END * (0.54 - 0.46 * cos(2 * pi() * t / 110)) AS h FROM range(111) x(t))",
+        "taps AS (SELECT t, h / sum(h) OVER () AS h FROM raw)",
+        "p AS (SELECT *, _sample + 9 AS k, first(X) OVER w AS X0, last(X) OVER w AS X9, first(Y) OVER w AS Y0, last(Y) OVER w AS Y9 FROM sig WINDOW w AS (PARTITION BY _id ORDER BY _sample ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+        "e AS (SELECT _id, j, CASE WHEN j < 0 THEN 2 * X0 - X WHEN j > 63 THEN 2 * X9 - X ELSE X END AS X, CASE WHEN j < 0 THEN 2 * Y0 - Y WHEN j > 63 THEN 2 * Y9 - Y ELSE Y END AS Y FROM (SELECT unnest(range(-55, 119)) AS j) JOIN p ON k = CASE WHEN j < 0 THEN -j WHEN j > 63 THEN 126 - j ELSE j END)",
+    )
+)
 def fir_low_pass(spark, d):
     return _signal(dsp.low_pass(dense(spark, d), freq=60))
 
 
-@_query()
+@_query(_iir_sql(20, 80, "butter", None, 1.0))
 def iir_band_pass(spark, d):
     return _signal(dsp.band_pass(dense(spark, d), freq=(20, 80), method="iir"))
 
 
-@_query()
+@_query(_iir_sql(None, 50.0, "cheby1", 8, 0.05, keep="j % 4 = 0", sample="ceil(-9 / 4.0)::INT + j // 4"))
 def downsample(spark, d):
     return _signal(dsp.downsample(dense(spark, d), q=4))
 
@@ -312,7 +357,22 @@ def psd_welch(spark, d):
     return spectral.psd(dense(spark, d).select("X")).signal.select("_id", "_freq", F.round("X", 8).alias("X"))
 
 
-@_query()
+_WELCH = [
+    "w AS (SELECT i, 0.54 - 0.46 * cos(2 * pi() * i / 7) AS w FROM range(8) t(i))",
+    "c AS (SELECT _id, _sample + 9 AS n, X - avg(X) OVER (PARTITION BY _id) AS x, Y - avg(Y) OVER (PARTITION BY _id) AS y FROM sig)",
+    "f AS (SELECT _id, s, k, sum(x * w * cos(2 * pi() * k * i / 8)) AS re, sum(x * w * sin(2 * pi() * k * i / 8)) AS im, sum(y * w * cos(2 * pi() * k * i / 8)) AS r2, sum(y * w * sin(2 * pi() * k * i / 8)) AS i2 FROM c JOIN (SELECT unnest(range(0, 57, 4)) AS s) ON true JOIN w ON n = s + i JOIN (SELECT unnest(range(5)) AS k) ON true GROUP BY _id, s, k)",
+    "p AS (SELECT _id, k, avg(re * re + im * im) * CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END AS X, avg(r2 * r2 + i2 * i2) * CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END AS Y FROM f GROUP BY _id, k)",
+]
+
+
+@_query(
+    _sql(
+        "SELECT _id, band AS _freq, round(sum(CASE WHEN k BETWEEN a AND a + 2 THEN (CASE WHEN k = a + 1 THEN 4 ELSE 1 END) * X ELSE 0 END) / sum((CASE WHEN k IN (0, 4) THEN 1 WHEN k = 2 THEN 2 ELSE 4 END) * X), 6) + 0.0 AS X,"
+        " round(sum(CASE WHEN k BETWEEN a AND a + 2 THEN (CASE WHEN k = a + 1 THEN 4 ELSE 1 END) * Y ELSE 0 END) / sum((CASE WHEN k IN (0, 4) THEN 1 WHEN k = 2 THEN 2 ELSE 4 END) * Y), 6) + 0.0 AS Y"
+        " FROM p JOIN (VALUES ('low', 0), ('high', 2)) b(band, a) ON true GROUP BY _id, band",
+        *_WELCH,
+    )
+)
 def power_bands(spark, d):
     return _signal(spectral.power_band(dense(spark, d), bands={"low": (0, 125), "high": (125, 250)}, relative=True))
 
