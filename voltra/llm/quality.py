@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _textvec as tv
-from ._shared import by_bytes, stash, string_bytes
+from ._shared import by_bytes, stash, string_bytes, unused
 
 #: Features of a text; all come from its characters alone.
 FEATURES = ("log_words", "word_bytes", "word_bytes_sd", "short_words", "long_words", "distinct", "top_word", "repeats", "symbols", "bars", "stops", "digits", "capitals", "spaces", "line_words", "non_ascii")
@@ -221,23 +221,25 @@ def scored(table: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs``."""
+    """doc_id, held_out, score, predicted of every row of ``docs``: null ids are not held out, null texts score as empty ones,
+    texts of any length by all of their words; other columns are not looked at, and an empty table gives no rows."""
     table = stash(feature_table(docs), "features")
     out = scored(table, train(table, labels, max_labelled))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, columns as they are; their texts are not shuffled."""
+    """The rows of ``docs`` that score ``threshold`` or more, columns as they are, of any name; their texts are not shuffled.
+
+    Null texts score as empty ones, very long ones by all of their words; repeated rows stay or go together.
+    """
     table = stash(feature_table(docs), "features")
     shared = docs.sparkSession.sparkContext.broadcast(train(table, labels, max_labelled))
-    at = docs.columns.index("text")
-    names = docs.columns
+    names, (whole,) = docs.columns, unused(docs, "whole")
 
     def run(batches):
-        for b in by_bytes(batches, "_text"):
+        for b in by_bytes(batches, whole):
             keep = shared.value.score(features(b.column(len(names)))) >= threshold
             yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep))
 
-    assert names[at] == "text"
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.withColumn(whole, F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)

@@ -71,7 +71,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0) -> DataFram
     """doc_id, size, text_crc32, shard, slot of every row: shard s has the rows whose preceding bytes, in doc_id order,
     are at least s/shards of all bytes and less than (s+1)/shards.
 
-    size is the UTF-8 bytes of the text (null: none) plus 8. Rows that share a doc_id are ordered by a hash of their
+    size is the UTF-8 bytes of the text (null: none) plus 8, however long it is. Groups are equal texts (equal
+    text_crc32); the law is about bytes and tells nothing of them: a group goes where its ids go, one that holds a third
+    of all rows over as many shards as its bytes fill, and every copy keeps a row of its own. Rows that share a doc_id are ordered by a hash of their
     text and a row number, so one hot id is split like any other range. Null ids come first. An empty table has no
     rows. With a ``tolerance`` (bytes), splitters may lie that much after their place.
     """

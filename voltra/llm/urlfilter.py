@@ -47,7 +47,9 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ``captures``: page_id, url, fetched_on date. Patterns: ``url`` (a bare URL), ``prefix`` (host and first path
     segment) and ``host`` (the host or any parent domain); the most specific that holds decides, the longer host
     first. Verdict is its action, or ``none``. Null or odd URLs and null dates match nothing. Repeated captures are
-    one row with their number.
+    one row with their number. URLs are taken whole, however long (one key for each label of the host). An entry makes a
+    row for each month it holds up to the last capture, so very old dates make long lists, which are not broadcast. Other
+    columns of either table are not looked at; empty tables give no rows, or no verdicts.
     """
     spans = intervals(entries)
     seen = captures.select("page_id", "url", "fetched_on").groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("n_rows"))
@@ -55,7 +57,8 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.split(name, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern"), (F.size(labels) - i + 1).alias("rank")))
     others = F.array(F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", name, F.split_part(path, F.lit("/"), F.lit(2))).alias("pattern"), F.lit(1000).alias("rank")), F.struct(F.lit("url").alias("kind"), path.alias("pattern"), F.lit(2000).alias("rank")))
-    asked = seen.filter("url is not null and fetched_on is not null").withColumn("_name", name).filter("_name is not null").select("page_id", "url", "fetched_on", F.explode(F.concat(parents, others)).alias("k"))
+    tasks = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are light here and make several each
+    asked = seen.repartition(tasks, "page_id", "url").filter("url is not null and fetched_on is not null").withColumn("_name", name).filter("_name is not null").select("page_id", "url", "fetched_on", F.explode(F.concat(parents, others)).alias("k"))
     asked = asked.select("page_id", "url", "fetched_on", "k.kind", "k.pattern", "k.rank", _month(F.col("fetched_on")).alias("month"))
     end = F.lit(captures.agg(F.max("fetched_on")).first()[0]).cast("date")  # open intervals end with the last capture
     listed = spans.withColumn("to", F.least(F.coalesce(F.date_sub("until", 1), end), end)).filter("since <= to")
