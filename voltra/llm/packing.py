@@ -278,7 +278,7 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, row: str = "row") -> DataFr
     within = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy(row)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = within.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("before", "nth", "salt", row)
+    ranked = within.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1).select(*[c for c in pieces.columns if c != row], "rank")
     shared = spark.sparkContext.broadcast(np.array(runs or [(0, 0, 0, 0, 0, 1)], np.int64))
     names = ranked.columns
 
