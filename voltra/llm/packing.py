@@ -32,27 +32,56 @@ END_ID = 1
 #: Distinct words whose ids a worker process keeps; a miss is encoded again, so the bound changes no result.
 CACHE_WORDS = 1_500_000
 _SLICE = 1 << 20
-_SPACE = re.compile(r"[ \n\t\r]")
+_SPACE = re.compile(rb"[ \n\t\r]")
 _BLANK = bytes(32 if i in (9, 10, 13) else i for i in range(256))
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else _BLANK[i] for i in range(256))
+#: Signs a letter or digit beside them never joins; the apostrophe is none, as it does.
+_SIGNS = b"!#$%&()*+,-./:;<=>?@[]^_{|}~"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Letters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
-def _plain(text: str, special: list[bytes]) -> list[bytes] | None:
-    """Words (UTF-8) whose ids one after the other are those of the text; none if a ``special`` token may be in it.
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+class _Words(dict):
+    """Ids of words (UTF-8, lower case but for letters beyond ASCII), worked out when first asked for.
 
-    The tokenizer drops white space and lower-cases, so words are lower-cased first. Letters keep their case where
-    combining marks (lead bytes 0xCC, 0xCD) are in the text, because those are composed before it lower-cases.
+    A word is parted where signs meet letters or digits, which the tokenizer never joins, so its parts are shared with
+    other words. Words of Latin letters go to the merges directly, everything else to the whole tokenizer.
     """
-    raw = text.encode()
-    low = raw.translate(_LOWER)
-    if any(x in low for x in special):
-        return None
-    return (raw.translate(_BLANK) if b"\xcc" in raw or b"\xcd" in raw else low).split(b" ")
+
+    def __init__(self, tokenizer):
+        super().__init__({b"": b""})
+        self.whole, self.merge = tokenizer.encode, tokenizer.model.tokenize
+
+    def __missing__(self, w: bytes) -> bytes:
+        if w.isalpha() and w.islower():
+            ids = [t.id for t in self.merge(w.decode())]
+        elif _LATIN.fullmatch(w):
+            ids = [t.id for t in self.merge("".join(map(_BYTES.__getitem__, w.decode().lower().encode())))]
+        else:
+            word = w.rstrip(_SIGNS)
+            if word and word != w and (word[-1] in _ALNUM or _LATIN.fullmatch(word[-2:])):
+                out = self[w] = self[word] + self[w[len(word) :]]
+                return out
+            word = w.lstrip(_SIGNS)
+            if word and word != w and (word[0] in _ALNUM or _LATIN.fullmatch(word[:2])):
+                out = self[w] = self[w[: len(w) - len(word)]] + self[word]
+                return out
+            ids = self.whole(w.decode(), add_special_tokens=False).ids
+        out = self[w] = array("I", ids).tobytes()
+        return out
 
 
 #: Texts a tokenizer must encode alike word by word and whole, for the word-wise way to be used with it.
-_PROBES = ["The cat, it's 12,5 a.b ... ,x. DON'T\t\r\n Éa ﬁ", "a  b\n\nc. D, 9. é. ,. (x) [y] <|z", "ΑΣ İx H̱ X 你好 мир. ß, naïve-café"]
+_PROBES = ["Él dijo: ÀÿÞÖ (ñandú)... x--y's ß§ ª9º é's d'Éa é_a $$a$$ 9é%%%, it'll<b>a</b>", "The cat, it's 12,5 a.b ... ,x. DON'T\t\r\n Éa ﬁ", "a  b\n\nc. D, 9. é. ,. (x) [y] <|z", "ΑΣ İx H̱ X 你好 мир. ß, naïve-café"]
 _CODERS: dict = {}
 
 
@@ -69,54 +98,42 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
-        self.model = self.tokenizer.model  # its steps before the model change nothing in a word of a-z
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = _Words(self.tokenizer)
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wordwise = True
-        self.wordwise = all(self.encode([x])[0] == self._whole(x) for x in _PROBES)
-        self.known = {b"": b""}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def add(self, new: list[bytes]) -> None:
-        # it never joins a letter or digit to a sign: a final stop or comma is a word of its own
-        parted = [w for w in new if len(w) > 1 and w[-1] in b".," and w[-2] in _ALNUM]
-        whole = set(new).difference(parted)
-        whole.update([w[:-1] for w in parted], (b".", b",") if parted else ())
-        todo = list(whole.difference(self.known))
-        merge = self.model.tokenize
-        self.known.update([(w, array("I", [t.id for t in merge(w.decode())]).tobytes()) for w in todo if w.isalpha() and w.islower()])
-        todo = [w for w in todo if w not in self.known]
-        for at in range(0, len(todo), 500):
-            part = [w.decode() for w in todo[at : at + 500]]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            first = (4 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), starts)).tolist()
-            self.known.update(zip(todo[at : at + 500], [ids[i:j] for i, j in itertools.pairwise(first)], strict=True))
-        known = self.known
-        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in parted])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text.
-
-        Texts with a special token, in any case of letters, go to the tokenizer whole, and so do all texts of a
-        tokenizer that does not pass the probes of the word-wise way.
+        self.wordwise = all(self.encode([x.encode()])[0] == self._whole(x.encode()) for x in _PROBES)
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _one(self, text: bytes, low: bytes) -> bytes:
+        """Ids of a text whose lower-case form is ``low``.
+
+        The tokenizer drops white space and lower-cases. Letters keep their case where combining marks (lead bytes 0xCC,
+        0xCD) are in the text, because those are composed before it lower-cases. A text that may have a special token, in
+        any case of letters, goes to the tokenizer whole.
         """
+        if any(x in low for x in self.special):
+            return self._whole(text)
+        marked = b"\xcc" in low or b"\xcd" in low
+        return b"".join(map(self.known.__getitem__, (text.translate(_BLANK) if marked else low).split(b" ")))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (UTF-8); whole texts at a time with a tokenizer that does not pass
+        the probes of the word-wise way."""
         if not self.wordwise:
             return [self._whole(text) for text in texts]
-        lists = [_plain(text, self.special) for text in texts]
-        new: set[bytes] = set()
-        for words in lists:
-            new.update(words or ())
         if len(self.known) > CACHE_WORDS:  # the first words seen are mostly the frequent ones
-            self.known = dict(itertools.islice(self.known.items(), CACHE_WORDS // 2))
-        self.add(list(new.difference(self.known)))
+            kept = _Words(self.tokenizer)
+            kept.update(itertools.islice(self.known.items(), CACHE_WORDS // 2))
+            self.known = kept
+        if any(x in b"\n".join(texts).translate(_LOWER) for x in (*self.special, b"\xcc", b"\xcd")):
+            return [self._one(text, text.translate(_LOWER)) for text in texts]
         get = self.known.__getitem__
-        return [self._whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, lists, strict=True)]
+        return [b"".join(map(get, text.translate(_LOWER).split(b" "))) for text in texts]
 
-    def encode_long(self, text: str) -> bytes:
+    def encode_long(self, text: bytes) -> bytes:
         """The same for one text in slices cut at white space."""
         out, at = [], 0
         while at < len(text):
@@ -141,7 +158,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int =
         coder = _CODERS.get(path) or _CODERS.setdefault(path, _Encoder(path))
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in by_bytes(batches):
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             coded = [coder.encode_long(texts[0])] if len(texts) == 1 else coder.encode(texts)
             rows = [(doc, k, at // 4, len(part) // 4, part) for doc, ids in zip(docs_, coded, strict=True) for k, at in enumerate(range(0, len(ids) + 4, width)) for part in ((ids + end)[at : at + width],)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
