@@ -191,6 +191,24 @@ def test_jaccard_join_splits_large_buckets(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(docs).collect())) == _links(docs)
 
 
+def test_forests_of_exact_links_join_the_same_sets():
+    rng = np.random.RandomState(15)
+    for _ in range(30):
+        base = [set(rng.choice(60, 12)) for _ in range(3)]
+        sets = [(base[rng.randint(3)] ^ set(rng.choice(60, rng.randint(3)))) or {1} for _ in range(25)]
+        owner, code = np.repeat(np.arange(25), [len(x) for x in sets]), np.concatenate([sorted(x) for x in sets])
+        up = list(range(25))
+        for i in range(25):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    up = [up[j] if u == up[i] else u for u in up]
+        mine = list(range(25))
+        for i, j in jaccard._tree(owner, code, np.array([len(x) for x in sets]), 0.8):
+            assert mine[i] != mine[j]
+            mine = [mine[j] if u == mine[i] else u for u in mine]
+        assert all((up[i] == up[j]) == (mine[i] == mine[j]) for i in range(25) for j in range(25))
+
+
 # -- repeated passages -------------------------------------------------------------------------------------------
 def _cut_by_hand(docs, least=20, radius=4):
     """(doc_id, text, spans) of each row: lines cut into pieces one word at a time, and digests that are the words."""

@@ -169,10 +169,39 @@ def _split(spark, tree: DataFrame, sigs: DataFrame, threshold: float, labels: Da
     return _likely(rows.join(sigs.select("rep", "sig"), "rep"), threshold)
 
 
-def _verify(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _tree(owner: np.ndarray, code: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the exact links of sets given as (owner, code) of their elements, sorted by owner.
+
+    Each set reached is compared with those that are not yet, so sets that all link cost one comparison each.
+    """
+    m, bounds = len(n), np.searchsorted(owner, np.arange(len(n) + 1))
+    size, edges = n.astype(float), []
+    left, rest_owner, rest_code = np.ones(m, bool), owner, code
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    for start in range(m):
+        front = [start] if left[start] else []
+        left[start] = False
+        while front and left.any():
+            i = front.pop()
+            mine = code[bounds[i] : bounds[i + 1]]
+            mark[mine] = True
+            common = np.bincount(rest_owner[mark[rest_code]], minlength=m)
+            mark[mine] = False
+            near = np.flatnonzero(left & (common > 0) & (common >= threshold * (size + size[i] - common) - 1e-6 * common))
+            if len(near):
+                left[near] = False
+                edges += [(i, int(j)) for j in near]
+                front += near.tolist()
+                stay = left[rest_owner]
+                rest_owner, rest_code = rest_owner[stay], rest_code[stay]
+    return edges
+
+
+def _verify(texts: DataFrame, k: int, threshold: float, count: bool = True) -> DataFrame:
     """kind, a, b of texts (grp, rep, weight, text): exact links on whole sets.
 
-    kind 0: a has b further rows linked to it; kind 1: a and b are linked (a spanning forest of each block).
+    kind 0: a has b further rows linked to it (only with ``count``, which compares every pair of a group); kind 1: a and
+    b are linked (a spanning forest of each block).
     """
 
     def to_sets(batches):
@@ -199,6 +228,9 @@ def _verify(texts: DataFrame, k: int, threshold: float) -> DataFrame:
         owner, code = owner[shared], code[shared]
         cols, code = np.unique(code, return_inverse=True)
         m = len(n)
+        if not count:
+            edges = np.array(_tree(owner, code, n, threshold), np.int64).reshape(-1, 2)
+            return pd.DataFrame({"kind": np.ones(len(edges), np.int32), "a": rep[edges[:, 0]], "b": rep[edges[:, 1]]})
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
         step = max(1, (1 << 23) // m)
@@ -233,13 +265,13 @@ def _verify(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     return rows.groupBy("grp", "x", "y").applyInPandas(exact, "kind int, a long, b long")
 
 
-def _classes(docs: DataFrame, k: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, k: int, threshold: float, recall: float, count: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): a stored row rid, doc_id, th, s1, s2, size for each of ``docs``, and rep, low, weight, label, more of
     each distinct set.
 
     Every row has a number of its own (rid) and a set is named by the least of its rows (rep), so neither repeated nor
     null ids of documents can stand for several texts. ``low`` is the smallest doc_id with the set, ``more`` the rows of
-    other sets linked to it, ``label`` the rep that names its component.
+    other sets linked to it (null without ``count``), ``label`` the rep that names its component.
     """
     spark = docs.sparkSession
     base = stash(profiles(docs, k), "profiles")
@@ -260,7 +292,7 @@ def _classes(docs: DataFrame, k: int, threshold: float, recall: float) -> tuple[
     members = labels.select("rep", F.col("label").alias("grp")).join(sigs.select("rep", "doc_id", "th"), "rep").join(copies.select("rep", "weight"), "rep")
     text = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"), F.coalesce("text", F.lit("")).alias("text"))
     texts = text.join(members, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("grp", "rep", "weight", "text").dropDuplicates(["rep"])
-    checked = stash(_verify(texts, k, threshold), "checked")
+    checked = stash(_verify(texts, k, threshold, count), "checked")
     linked = checked.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("more"))
     classes = components(checked.filter("kind = 1").select("a", "b"), "classes")
     sets = copies.join(linked, "rep", "left").join(classes, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -290,8 +322,9 @@ def keep_one(docs: DataFrame, k: int = GRAM_WORDS, threshold: float = THRESHOLD,
     Of rows equal in both, one stays. Texts without words are in no class and all stay. ``docs`` must give the same rows
     each time it is read.
     """
-    base, sets = _classes(docs, k, threshold, recall)
-    several = sets.filter("weight > 1 or more is not null").select("s1", "s2", "label")
+    base, sets = _classes(docs, k, threshold, recall, count=False)
+    met = sets.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("m"))
+    several = sets.join(met, F.col("label") == F.col("l")).filter("weight > 1 or m > 1").select("s1", "s2", "label")
     seen = base.filter("size > 0").join(several, ["s1", "s2"]).groupBy("label", "doc_id", "th").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = seen.groupBy(F.col("label").alias("l")).agg(F.min(order).alias("f"))
