@@ -19,7 +19,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines and sentences that an earlier one holds."""
+    """Every document without the runs of at least 20 words, in lines or pieces of lines, that an earlier one holds."""
     return linededup.clean(docs)
 
 
