@@ -67,6 +67,11 @@ def test_segmentation(data0):
     assert ended.signal.groupBy("_id").count().orderBy("_id").collect() == [(1, 6), (2, 6)]
     back = timeline.unsegment(timeline.segment(data0, "_type = 'New Segment'", lim=(0, 9), unit="samples"))
     assert values(back, "_sample", "X") == values(data0, "_sample", "X")
+    late = timeline.unsegment(timeline.segment(data0, "_type = 'New Segment'", lim=(0, 9), unit="samples"), start=101, sep={"_type": "cut", "_description": "a"}, zero={"_type": "zero"})
+    assert values(late, "_sample")[0] == (101,) and late.signal.count() == 20
+    assert sorted((e._type, e._initial) for e in late.events.filter("_type in ('cut', 'zero')").collect()) == [("cut", 101), ("cut", 111), ("zero", 101), ("zero", 111)]
+    once = timeline.unsegment(data0)
+    assert once.events.filter("_type = 'New Segment'").count() == 3 and once.events.filter("_type = 'Time 0'").count() == 2
 
 
 def test_events_to_na_and_baseline(sincos):
@@ -200,6 +205,25 @@ def test_fir_stops_what_it_should_and_keeps_each_width():
         dsp.fir(500, None, 40, window="x")
 
 
+@pytest.mark.parametrize("kind", ["butter", "cheby1", "cheby2", "ellip"])
+def test_least_orders_meet_their_losses(kind):
+    def loss(sections, f):
+        z = np.exp(-2j * np.pi * np.asarray(f, float) / 500 * np.arange(3)[:, None])
+        return -20 * np.log10(np.abs(np.prod([(b @ z) / (a @ z) for b, a in sections], axis=0)) + 1e-30)
+
+    for edges, passed, stopped in (((None, 60), [1, 30, 60], [75, 100, 200]), ((40, None), [40, 90, 200], [1, 15, 30]), ((30, 90), [30, 60, 90], [5, 22.5, 112.5, 200]), ((120, 60), [5, 60, 120, 200], [75, 80, 90])):
+        s = dsp.iir(500, *edges, kind=kind, gpass=1, gstop=40)
+        assert loss(s, passed).max() <= 1 + 1e-6 and loss(s, stopped).min() >= 40 - 1e-6
+        assert loss(s, [f for f in edges if f]).max() == pytest.approx(1, abs=1e-6)
+    if kind == "ellip":
+        assert len(dsp.iir(500, None, 60, kind=kind, gpass=1, gstop=40)) < len(dsp.iir(500, None, 60, kind="butter", gpass=1, gstop=40))
+    for wrong in ({"gpass": 1}, {"gpass": 1, "gstop": 40, "order": 2}, {"gpass": 3, "gstop": 2}):
+        with pytest.raises(ValueError, match="gpass"):
+            dsp.iir(500, None, 60, kind=kind, **wrong)
+    with pytest.raises(ValueError, match="stop bands"):
+        dsp.iir(500, 1, 60, kind=kind, gpass=1, gstop=40)
+
+
 def _by_the_sample(b, a, v):
     out, s1, s2 = [], 0.0, 0.0
     for x in v:
@@ -314,6 +338,26 @@ def test_components_are_reversible_and_remove_a_source(spark):
     assert 0.9 < ica.var_table(fitted).agg(F.sum("var")).first()[0] < 1.1 and fitted.matrices().count() == 9
 
 
+@pytest.mark.parametrize("config", [{"g": "pow3"}, {"g": "gaus"}, {"method": "deflation", "g": "pow3"}, {"method": "adaptive"}, {"method": "adaptive", "kj": 1}, {"method": "adaptive", "kj": 3}])
+def test_every_start_and_nonlinearity_separates(config):
+    rng = np.random.RandomState(5)
+    s = np.stack([rng.uniform(-1, 1, 20_000), rng.laplace(size=20_000), np.sign(rng.standard_normal(20_000))], 1)
+    w = ica.fast_ica(s @ np.array([[1, 0.4, 0.2], [0.3, 1, -0.5], [-0.2, 0.6, 1]]), **config)
+    c = np.abs(np.corrcoef(np.concatenate([s, s @ np.array([[1, 0.4, 0.2], [0.3, 1, -0.5], [-0.2, 0.6, 1]]) @ w], 1), rowvar=False)[:3, 3:])
+    assert sorted(c.argmax(1).tolist()) == [0, 1, 2] and c.max(1).min() > 0.99
+    with pytest.raises(ValueError, match="nonlinearity"):
+        ica.fast_ica(s, g="x")
+
+
+def test_joint_rotation_diagonalises():
+    rng = np.random.RandomState(2)
+    q, _ = np.linalg.qr(rng.standard_normal((4, 4)))
+    m = np.array([q.T @ np.diag(rng.standard_normal(4)) @ q for _ in range(5)])
+    r = ica._joint_diagonal(m.copy(), 1e-12, 100)
+    left = r @ m @ r.T
+    assert np.abs(left * (1 - np.eye(4))).max() < 1e-9 and np.allclose(r @ r.T, np.eye(4))
+
+
 def test_maps(spark):
     table = spark.createDataFrame([("a", c, x, y, x + y) for c, x, y in (("p", 1.0, 0.0), ("q", -1.0, 0.0), ("r", 0.0, 1.0), ("s", 0.0, -1.0))], "g string, _key string, _x double, _y double, _value double")
     got = topography.interpolate(table, ["g"], points=15).toPandas()
@@ -434,6 +478,13 @@ def test_limits_of_each_event(data0):
     assert got.segments.count() == 2 and "rt" in got.segments.columns
 
 
+def test_selection_by_type_and_clock(sincos):
+    assert sincos.select(sincos.where(lambda kind: kind == "double")).channel_names == ["X", "Y"]
+    assert set(sincos.across(F.upper, sincos.where(lambda kind: kind == "string"))) == {"_recording", "condition"}
+    assert sincos.summary()["total"].collect() == [(500.0, "00:00:00")]
+    assert sincos._with(rate=1 / 7200).summary()["total"].first().duration == "60:00:00"
+
+
 def test_warnings_of_options_without_effect(sincos):
     with pytest.warns(UserWarning, match="preserve"):
         sincos.filter("X > 0", preserve=True)

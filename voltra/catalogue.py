@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import channels as chf
 from .model import Recording
+from .functions.timing import as_sample, as_time
 from .operators import artifacts, dsp, ica, spectral, timeline, topography
 from .plans.routing import na_mean
 
@@ -317,6 +318,131 @@ def select_rename(spark, d):
     return dense(spark, d).select("X", eye="Y").signal.select("_id", "_sample", "eye", "X")
 
 
+@_query(_sql("SELECT _id, _sample, X AS x1, Y AS y1 FROM sig"))
+def rename_with(spark, d):
+    return dense(spark, d).rename_with(lambda c: c.lower() + "1").signal
+
+
+@_query(_sql("SELECT _id, _sample, X, Y, round(X - avg(X) OVER w, 6) + 0.0 AS X_centred, round(Y - avg(Y) OVER w, 6) + 0.0 AS Y_centred, round(abs(X), 6) AS X_size, round(abs(Y), 6) AS Y_size FROM sig WINDOW w AS (PARTITION BY _id)"))
+def across_channels(spark, d):
+    x = dense(spark, d)
+    own = Window.partitionBy("_id")
+    x = x.mutate(**x.across_ch({"centred": lambda c: c - F.avg(c).over(own), "size": F.abs}))
+    return x.signal.select("_id", "_sample", "X", "Y", *[_r(c, c) for c in ("X_centred", "Y_centred", "X_size", "Y_size")])
+
+
+@_query(_sql("SELECT _id, upper(_recording) AS _recording, upper(condition) AS condition, label % 4 AS label, substr(condition || label, 1, 2) AS code, CASE WHEN label > 3 THEN 'high' WHEN label > 1 THEN 'mid' ELSE 'low' END AS level FROM seg"))
+def across_segments(spark, d):
+    x = dense(spark, d)
+    text = x.across(F.upper, x.where(lambda kind: kind == "string"))
+    x = x.mutate(**text, label="label % 4", code="substr(concat(condition, label), 1, 2)", level="CASE WHEN label > 3 THEN 'high' WHEN label > 1 THEN 'mid' ELSE 'low' END")
+    return x.segments.select("_id", "_recording", "condition", "label", "code", "level")
+
+
+@_query(_sql("SELECT _id, _sample, round((X + Y) / 2, 6) + 0.0 AS m, least(X, Y) AS low, round(X + Y, 6) + 0.0 AS total FROM sig"))
+def rows_across_channels(spark, d):
+    x = dense(spark, d)
+    x = x.transmute(m=chf.c_across_ch(x, "median"), low=chf.c_across_ch(x, "min"), total=chf.c_across_ch(x, "sum"))
+    return x.signal.select("_id", "_sample", _r("m", "m"), "low", _r("total", "total"))
+
+
+@_query(_sql("SELECT Y FROM sig"))
+def pull(spark, d):
+    return dense(spark, d).pull()
+
+
+_HELD = "held AS (SELECT sig._id, _sample, X, Y FROM sig LEFT JOIN (SELECT * FROM ev WHERE _type = 'Bad') b ON sig._id = b._id AND _sample BETWEEN _initial AND _final WHERE b._id IS NULL)"
+
+
+@_query(_sql("SELECT * FROM held", _HELD))
+def na_omit(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'", entire_seg=False).na_omit().signal
+
+
+@_query(_sql("SELECT ev._id, _type, greatest(_initial, lo) AS _initial, least(_final, hi) AS _final, _channel FROM ev JOIN e ON ev._id = e._id AND _initial <= hi AND _final >= lo WHERE _type <> 'Bad'", _HELD, "e AS (SELECT _id, min(_sample) AS lo, max(_sample) AS hi FROM held GROUP BY _id)"))
+def na_omit_events(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'", entire_seg=False).na_omit().events.select(*_EVENTS)
+
+
+@_query(_sql("SELECT _id, _recording, label, condition FROM seg WHERE _id NOT IN (SELECT _id FROM ev WHERE _type = 'Bad')"))
+def drop_incomplete(spark, d):
+    return timeline.events_to_na(dense(spark, d), "_type = 'Bad'", entire_seg=False).drop_incomplete_segments().segments
+
+
+@_query(_sql("SELECT _type, _description, count(*) AS n FROM (SELECT *, NULL::VARCHAR AS _description FROM ev) GROUP BY ALL"))
+def summary_events(spark, d):
+    return dense(spark, d).summary()["events"]
+
+
+@_query(_sql("SELECT 500.0::DOUBLE AS sampling_rate, lpad((s // 3600)::VARCHAR, greatest(2, len((s // 3600)::VARCHAR))::INT, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS duration FROM (SELECT count(*) // 500 AS s FROM sig)"))
+def summary_total(spark, d):
+    return dense(spark, d).summary()["total"]
+
+
+@_query(_sql("SELECT k AS _key, _type, count(*) AS n, sum(_final - _initial + 1)::BIGINT AS samples FROM (SELECT 'X' AS k UNION ALL SELECT 'Y') JOIN ev ON _channel IS NULL OR _channel = k GROUP BY ALL"))
+def events_by_channel(spark, d):
+    return topography.event_data(dense(spark, d)).groupBy("_key", "_type").agg(F.count("*").alias("n"), F.sum(F.col("_final") - F.col("_initial") + 1).alias("samples"))
+
+
+@_query(_sql("SELECT _id, _sample, (_sample - 1) / 500.0 AS seconds, (_sample - 1) / 0.5 AS ms, _sample AS back FROM sig"))
+def time_units(spark, d):
+    x = dense(spark, d).signal.select("_id", "_sample", as_time(F.col("_sample"), 500.0).alias("seconds"), as_time(F.col("_sample"), 500.0, "ms").alias("ms"))
+    return x.withColumn("back", as_sample(F.col("ms"), 500.0, "ms"))
+
+
+@_query(_sql("SELECT new AS _id, _sample - first + 1 AS _sample, V FROM a JOIN st ON old = _id AND _sample BETWEEN first - old % 4 AND first + 2 + old % 3", "a AS (SELECT _id AS old, _sample AS first, row_number() OVER (ORDER BY _id, _sample) AS new FROM st WHERE _type = 'purchase')"))
+def segment_own_limits(spark, d):
+    return timeline.segment(stream(spark, d), "_type = 'purchase'", lim=("-(_id % 4)", "2 + _id % 3"), unit="samples").signal
+
+
+@_query(
+    _sql(
+        "SELECT 1::BIGINT AS _id, _type, _initial + up AS _initial, _final + up AS _final, _channel FROM ev JOIN o USING (_id) UNION ALL SELECT 1, 'Start', off + 101, off + 101, NULL FROM o UNION ALL SELECT 1, 'Zero', 1 + up, 1 + up, NULL FROM o",
+        "o AS (SELECT _id, 64 * (row_number() OVER (ORDER BY _id) - 1) AS off, 64 * (row_number() OVER (ORDER BY _id) - 1) + 110 AS up FROM seg)",
+    )
+)
+def unsegment_events(spark, d):
+    return timeline.unsegment(dense(spark, d), start=101, sep={"_type": "Start"}, zero={"_type": "Zero"}).events.select(*_EVENTS)
+
+
+@_query(_sql("SELECT * FROM (VALUES ('X', pi() / 4, 0.0), ('Y', (pi() / 2 - atan2(0.5, sqrt(2))) * cos(3 * pi() / 4), (pi() / 2 - atan2(0.5, sqrt(2))) * sin(3 * pi() / 4))) v(_channel, _x, _y)"))
+def polar_places(spark, d):
+    x = dense(spark, d)
+    return x._with(channels=topography.change_coord(x.channels)).channels_table().select("_channel", "_x", "_y")
+
+
+# Fixed for the queries below: unmixing by columns (2, 1) and (1, 3), whose inverse has the rows (0.6, -0.2) and (-0.2, 0.4).
+_MIX = ([[0.6, -0.2], [-0.2, 0.4]], [[2.0, 1.0], [1.0, 3.0]])
+_CENTRED = "dx AS (SELECT _id, _sample, _recording, X, Y, avg(X) OVER w AS mx, avg(Y) OVER w AS my, X - avg(X) OVER w AS dx, Y - avg(Y) OVER w AS dy FROM sig JOIN seg USING (_id) WINDOW w AS (PARTITION BY _recording))"
+
+
+def _mixed(spark, d):
+    return ica.with_models(dense(spark, d), {f"rec{i}": _MIX for i in range(3)})
+
+
+@_query(_sql("SELECT _id, _sample, round(X, 6) + 0.0 AS X, round(Y, 6) + 0.0 AS Y, round(10 * (2 * dx + dy), 6) + 0.0 AS ICA1, round(10 * (dx + 3 * dy), 6) + 0.0 AS ICA2 FROM dx", _CENTRED))
+def ica_show(spark, d):
+    return _signal(ica.show(_mixed(spark, d)))
+
+
+@_query(_sql("SELECT _id, _sample, round(mx - 0.2 * dx - 0.6 * dy, 6) + 0.0 AS X, round(my + 0.4 * dx + 1.2 * dy, 6) + 0.0 AS Y FROM dx", _CENTRED))
+def ica_keep(spark, d):
+    return _signal(ica.keep(_mixed(spark, d), "-ICA1"))
+
+
+_TOTAL = "(X + Y) / 2"
+
+
+@_query(_sql(f"SELECT _recording, 'ICA1' AS _ica, round(1 - var_samp({_TOTAL} - 0.2 * (2 * dx + dy)) / var_samp({_TOTAL}), 6) + 0.0 AS var FROM dx GROUP BY _recording UNION ALL SELECT _recording, 'ICA2', round(1 - var_samp({_TOTAL} - 0.1 * (dx + 3 * dy)) / var_samp({_TOTAL}), 6) + 0.0 FROM dx GROUP BY _recording", _CENTRED))
+def ica_variance_of_given(spark, d):
+    return ica.var_table(_mixed(spark, d)).select("_recording", "_ica", _r("var", "var"))
+
+
+@_query(_sql("SELECT _recording, 'ICA1' AS _ica, 'Y' AS _eog, round(corr(2 * dx + dy, Y), 6) + 0.0 AS cor FROM dx GROUP BY _recording UNION ALL SELECT _recording, 'ICA2', 'Y', round(corr(dx + 3 * dy, Y), 6) + 0.0 FROM dx GROUP BY _recording", _CENTRED))
+def ica_correlation(spark, d):
+    return ica.cor_table(_mixed(spark, d), "Y").select("_recording", "_ica", "_eog", _r("cor", "cor"))
+
+
 @_query(_sql("SELECT k AS _key, round(quantile_cont(v, 0.025) * 1.5, 6) AS low, round(quantile_cont(v, 0.975) * 1.5, 6) AS high FROM (SELECT 'X' AS k, X AS v FROM sig UNION ALL SELECT 'Y', Y FROM sig) GROUP BY k"))
 def plot_limits(spark, d):
     return topography.plot_limits(dense(spark, d)).select("_key", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
@@ -377,6 +503,25 @@ def power_bands(spark, d):
     return _signal(spectral.power_band(dense(spark, d), bands={"low": (0, 125), "high": (125, 250)}, relative=True))
 
 
+_DENSITY = "q AS (SELECT _id, k * 62.5 AS _freq, X / (500 * (SELECT sum(w * w) FROM w)) AS X, Y / (500 * (SELECT sum(w * w) FROM w)) AS Y FROM p)"
+
+
+@_query(_sql("SELECT _freq, condition, round(avg(X), 8) + 0.0 AS X, round(max(Y), 8) + 0.0 AS Y FROM q JOIN seg USING (_id) WHERE _freq BETWEEN 60 AND 200 AND label > 1 GROUP BY ALL", *_WELCH, _DENSITY))
+def psd_filter_summarize(spark, d):
+    x = spectral.psd(dense(spark, d)).filter("_freq BETWEEN 60 AND 200", "label > 1").group_by("_freq", "condition").summarize(X=F.avg("X"), Y=F.max("Y"))
+    return x.signal.join(x.segments, "_id").select("_freq", "condition", F.round("X", 8).alias("X"), F.round("Y", 8).alias("Y"))
+
+
+@_query(_sql("SELECT _id, _freq, k AS _key, round(v, 8) + 0.0 AS _value, _recording, label, condition FROM (SELECT _id, _freq, 'X' AS k, X AS v FROM q UNION ALL SELECT _id, _freq, 'Y', Y FROM q) JOIN seg USING (_id)", *_WELCH, _DENSITY))
+def psd_long_table(spark, d):
+    return spectral.psd(dense(spark, d)).to_long().withColumn("_value", F.round("_value", 8))
+
+
+@_query(_sql("SELECT _id, 'all' AS _freq, round(sum((CASE WHEN _freq IN (0, 250) THEN 1 WHEN _freq = 125 THEN 2 ELSE 4 END) * X) * 62.5 / 3, 6) + 0.0 AS X, round(sum((CASE WHEN _freq IN (0, 250) THEN 1 WHEN _freq = 125 THEN 2 ELSE 4 END) * Y) * 62.5 / 3, 6) + 0.0 AS Y FROM q GROUP BY _id", *_WELCH, _DENSITY))
+def power_of_spectra(spark, d):
+    return _signal(spectral.power_band(spectral.psd(dense(spark, d)), bands={"all": (0, 250)}))
+
+
 @_query()
 def ica_variance(spark, d):
     return ica.var_table(ica.fit(dense(spark, d), ignore="_type = 'Bad'")).select("_recording", "_ica", _r("var", "var"))

@@ -257,6 +257,10 @@ class Recording:
             return {f"{c}_{k}": f(F.col(c)) for c in names for k, f in fns.items()}
         return {c: fns(F.col(c)) for c in names}
 
+    def where(self, test: Callable[[str], bool]) -> sel.Selector:
+        """Selector of the columns whose type (``double``, ``string``, …) passes the test."""
+        return sel.any_of(c for t in (self.signal, self.segments) for c, kind in t.dtypes if test(kind))
+
     # -- rows ----------------------------------------------------------------------------------------------------
     def filter(self, *conditions, preserve: bool = False) -> Recording:
         """Rows of the signal (events are cut to what stays) or, for conditions on segments alone, whole segments."""
@@ -401,10 +405,15 @@ class Recording:
         return self.segments.join(ok, "_id").groupBy(*by).agg(F.sum(F.col("_ok").cast("long")).alias("n"))
 
     def summary(self) -> dict[str, DataFrame]:
+        """Rate and duration (HH:MM:SS) of all, segments by recording, events by kind, and the duration of each id."""
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in self.channel_names])
         ok = self.signal.groupBy("_id").agg(F.bool_and(whole).alias("_ok"))
         per = self.segments.join(ok, "_id", "left").groupBy("_recording").agg(F.count("*").alias("n_segments"), F.sum((~F.col("_ok")).cast("long")).alias("n_incomplete"))
-        return {"segments": per, "events": self.events.groupBy("_type", "_description").agg(F.count("*").alias("n")), "duration": self.duration()}
+        seconds = F.floor(F.count("*") / self.rate)
+        clock = [F.lpad(v.cast("string"), 2, "0") for v in (F.floor(seconds / 60) % 60, seconds % 60)]
+        hours = F.floor(seconds / 3600).cast("string")
+        total = self.signal.agg(F.lit(float(self.rate)).alias("sampling_rate"), F.concat_ws(":", F.lpad(hours, F.greatest(F.length(hours), F.lit(2)), "0"), *clock).alias("duration"))
+        return {"total": total, "segments": per, "events": self.events.groupBy("_type", "_description").agg(F.count("*").alias("n")), "duration": self.duration()}
 
 
 class Spectrum(Recording):

@@ -112,9 +112,7 @@ def _prototype(kind: str, order: int, rp: float, rs: float) -> tuple[np.ndarray,
         z = 1j / c[np.abs(c) > 1e-12]
         p = 1 / (-np.sinh(mu) * np.sin(angle) + 1j * np.cosh(mu) * c)
         return z, p, (np.prod(-p) / np.prod(-z)).real
-    if kind == "ellip":
-        return _elliptic(order, rp, rs)
-    raise ValueError(f"unknown filter {kind!r}: butter, cheby1, cheby2 or ellip")
+    return _elliptic(order, rp, rs)
 
 
 def _moduli(k: float) -> list[float]:
@@ -157,13 +155,62 @@ def _elliptic(order: int, rp: float, rs: float) -> tuple[np.ndarray, np.ndarray,
     return z, p, (np.prod(-p) / np.prod(-z)).real / (1 if order % 2 else 10 ** (rp / 20))
 
 
-def iir(rate: float, low: float | None, high: float | None, kind: str = "butter", order: int | None = None, rp: float = 1.0, rs: float = 40.0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections by the bilinear transform; the same meaning of low and high as ``fir``."""
+def _quarter(k: float) -> float:
+    """Quarter period of the modulus ``k``, by the arithmetic-geometric mean."""
+    a, b = 1.0, np.sqrt(1 - k * k)
+    while a - b > 1e-15:
+        a, b = (a + b) / 2, np.sqrt(a * b)
+    return np.pi / (2 * a)
+
+
+def _least(kind: str, reach: float, gpass: float, gstop: float) -> tuple[int, float]:
+    """Least order of a low-pass that loses at most ``gpass`` dB up to 1 and at least ``gstop`` dB from ``reach`` on, and
+    the factor that moves the edge of its prototype to where it loses ``gpass``."""
+    ripple = np.sqrt(10 ** (gpass / 10) - 1)
+    drop = np.sqrt(10 ** (gstop / 10) - 1) / ripple
+    whole = lambda v: max(1, int(np.ceil(v - 1e-9)))
+    if kind == "butter":
+        n = whole(np.log(drop) / np.log(reach))
+        return n, ripple ** (-1 / n)
+    if kind == "ellip":
+        k, k1 = 1 / reach, 1 / drop
+        return whole(_quarter(k) * _quarter(np.sqrt(1 - k1 * k1)) / (_quarter(np.sqrt(1 - k * k)) * _quarter(k1))), 1.0
+    n = whole(np.arccosh(drop) / np.arccosh(reach))
+    return n, np.cosh(np.arccosh(drop) / n) if kind == "cheby2" else 1.0
+
+
+def _reach(rate: float, low: float | None, high: float | None, low_width: float | None, high_width: float | None, warp) -> float:
+    """Where the prototype's stop band begins, if its pass band ends at 1."""
+    lw, hw = low_width or (low and max(0.25 * low, 2)), high_width or (high and max(0.25 * high, 2))
+    stops = [f for f in (low and low - lw, high and high + hw) if f is not None]
+    if any(not 0 < f < rate / 2 for f in stops) or (low and high and low > high and stops[0] < stops[1]):
+        raise ValueError(f"the stop bands cannot begin at {stops} Hz: set low_width and high_width")
+    if low is None or high is None:
+        return warp(high + hw) / warp(high) if low is None else warp(low) / warp(low - lw)
+    a, b = sorted((warp(low), warp(high)))
+    each = [abs(w * w - a * b) / (w * (b - a)) for w in map(warp, stops)]
+    return min(each) if low < high else 1 / max(each)
+
+
+def iir(rate: float, low: float | None, high: float | None, kind: str = "butter", order: int | None = None, rp: float = 1.0, rs: float = 40.0, gpass: float | None = None, gstop: float | None = None, low_width: float | None = None, high_width: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections by the bilinear transform; the same meaning of low and high as ``fir``.
+
+    With ``gpass`` and ``gstop`` (dB of one of the two passes) the order is the least that loses at most the one inside
+    low..high and at least the other beyond the transitions of ``low_width`` and ``high_width`` Hz.
+    """
     both = low is not None and high is not None
-    n = order or (4 if both else 6)
-    z, p, k = _prototype(kind, n, rp, rs)
+    if kind not in ("butter", "cheby1", "cheby2", "ellip"):
+        raise ValueError(f"unknown filter {kind!r}: butter, cheby1, cheby2 or ellip")
+    n, edge = order or (4 if both else 6), 1.0
     warp = lambda f: 2 * rate * np.tan(np.pi * f / rate)
+    if (gpass is None) != (gstop is None) or gpass is not None and (order or not 0 < gpass < gstop):
+        raise ValueError("give an order, or both gpass and gstop with 0 < gpass < gstop")
+    if gpass is not None:
+        n, edge = _least(kind, _reach(rate, low, high, low_width, high_width, warp), gpass, gstop)
+        rp, rs = gpass, gstop
+    z, p, k = _prototype(kind, n, rp, rs)
     degree = len(p) - len(z)
+    z, p, k = z * edge, p * edge, k * edge**degree
     if not both:
         w = warp(high if low is None else low)
         if low is None:

@@ -30,6 +30,10 @@ class IcaRecording(Recording):
         left = {r["_recording"] for r in out.segments.select("_recording").distinct().collect()}
         return out._with(models={k: v for k, v in self.models.items() if k in left})
 
+    def summary(self) -> dict[str, DataFrame]:
+        """As of a recording, with the table of the components."""
+        return super().summary() | {"components": summary_table(self) if _eyes(self) else var_table(self)}
+
     def matrices(self) -> DataFrame:
         rows = [(r, n, c, float(a[i, j])) for r, (chs, a, _, names) in self.models.items() for i, n in enumerate(names) for j, c in enumerate(chs)]
         return self.signal.sparkSession.createDataFrame(rows, "_recording string, _ica string, _channel string, _value double")
@@ -43,17 +47,65 @@ def _whiten(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x @ k, k
 
 
-def fast_ica(x: np.ndarray, method: str = "parallel", tol: float = 1e-6, iterations: int = 1000, start: np.ndarray | None = None) -> np.ndarray:
-    """Unmixing matrix W (channels × components) by fixed-point iterations on log cosh; parallel, deflation or adaptive
-    (deflation from a fourth-order start)."""
+#: Nonlinearities and the means of their slopes.
+_NONLINEAR = {
+    "tanh": lambda y: ((g := np.tanh(y)), (1 - g * g).mean(0)),
+    "pow3": lambda y: (y**3, (3 * y * y).mean(0)),
+    "gaus": lambda y: (y * (e := np.exp(-y * y / 2)), ((1 - y * y) * e).mean(0)),
+}
+
+
+def _cumulants(z: np.ndarray, k: int) -> np.ndarray:
+    """Fourth-order cumulant matrices of the pairs of columns of white ``z`` less than ``k`` apart."""
+    n, out = z.shape[1], []
+    for i in range(n):
+        for j in range(i, min(n, i + k)):
+            own = np.zeros((n, n))
+            own[i, j] += 1
+            own[j, i] += 1
+            out.append((z * (z[:, i] * z[:, j])[:, None]).T @ z / len(z) - (i == j) * np.eye(n) - own)
+    return np.array(out)
+
+
+def _joint_diagonal(m: np.ndarray, tol: float, sweeps: int) -> np.ndarray:
+    """Rotation R for which the matrices R·m·Rᵀ are as diagonal as can be, by plane rotations."""
+    n, r = m.shape[1], np.eye(m.shape[1])
+    for _ in range(sweeps):
+        largest = 0.0
+        for p in range(n - 1):
+            for q in range(p + 1, n):
+                d, o = m[:, p, p] - m[:, q, q], m[:, p, q] + m[:, q, p]
+                angle = np.arctan2(2 * (d @ o), d @ d - o @ o) / 4
+                largest = max(largest, abs(angle))
+                turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
+                m[:, [p, q], :] = np.einsum("ab,kbc->kac", turn, m[:, [p, q], :])
+                m[:, :, [p, q]] = np.einsum("kcb,ab->kca", m[:, :, [p, q]], turn)
+                r[[p, q]] = turn @ r[[p, q]]
+        if largest < tol:
+            break
+    return r
+
+
+def fast_ica(x: np.ndarray, method: str = "parallel", tol: float = 1e-6, iterations: int = 1000, start: np.ndarray | None = None, g: str = "tanh", kj: int = 0) -> np.ndarray:
+    """Unmixing matrix W (channels × components) by fixed-point iterations with the nonlinearity ``g`` (tanh, pow3, gaus);
+    parallel, deflation or adaptive (deflation from a fourth-order start or, with ``kj``, from the rotation that makes
+    the cumulants of columns of that start less than ``kj`` apart most diagonal)."""
+    if g not in _NONLINEAR:
+        raise ValueError(f"unknown nonlinearity {g!r}: {', '.join(_NONLINEAR)}")
     z, k = _whiten(x)
     n = z.shape[1]
     w = np.random.RandomState(1).standard_normal((n, n)) if start is None else np.array(start, float)
     if method == "adaptive":
         _, w = np.linalg.eigh((z * (z * z).sum(1, keepdims=True)).T @ z / len(z))
         w = w.T
+        if kj:
+            w = _joint_diagonal(_cumulants(z @ w.T, kj), tol, iterations) @ w
     done = True
-    step = lambda v: ((g := np.tanh(z @ v)), z.T @ g / len(z) - v * (1 - g * g).mean(0))[1]
+
+    def step(v: np.ndarray) -> np.ndarray:
+        y, slope = _NONLINEAR[g](z @ v)
+        return z.T @ y / len(z) - v * slope
+
     if method == "parallel":
         sym = lambda m: (lambda u, s, v: u @ v)(*np.linalg.svd(m))
         w = sym(w)
@@ -173,9 +225,13 @@ def keep(x: IcaRecording, *components, **by_recording) -> IcaRecording:
     return x._with(signal=signal, models=models, channels={c: v for c, v in x.channels.items() if v.get("kind") != "component"})
 
 
+def _eyes(x: IcaRecording) -> tuple[str, ...]:
+    return tuple(c for c in x.channel_names if c.lower().startswith("eog") or c.lower().endswith("eog"))
+
+
 def cor_table(x: IcaRecording, *eog: str, max_sample: int | None = None) -> DataFrame:
     """_recording, _ica, _eog, cor: correlation of each component with each eye channel, strongest first."""
-    eog = eog or tuple(c for c in x.channel_names if c.lower().startswith("eog") or c.lower().endswith("eog"))
+    eog = eog or _eyes(x)
     shown = show(_thinned(x, max_sample))
     comps = shown.component_names
     wide = shown.signal.join(x.segments.select("_id", "_recording"), "_id").dropna(subset=[*comps, *eog])

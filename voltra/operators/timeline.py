@@ -62,16 +62,19 @@ def segment(x: Recording, where: Column | str, lim: tuple[float, float] = (-0.5,
     return x._with(signal=signal, events=_cut_events(x, real), segments=segments, groups=())
 
 
-def unsegment(x: Recording) -> Recording:
-    """One id with all segments one after the other; a New Segment event starts each, and Time 0 marks its zero."""
+def unsegment(x: Recording, start: int = 1, sep: dict[str, str] | None = None, zero: dict[str, str] | None = None) -> Recording:
+    """One id with all segments one after the other, from sample ``start``. An event with the columns of ``sep`` (by default
+    _type New Segment) starts each and, where there are several, one with those of ``zero`` (Time 0) marks its zero; equal
+    events are one."""
+    sep, zero = sep or {"_type": "New Segment", "_description": ""}, zero or {"_type": "Time 0", "_description": ""}
     ends = x.signal.groupBy("_id").agg(F.min("_sample").alias("_lo"), (F.max("_sample") - F.min("_sample") + 1).alias("_n"))
     at = numbering.before(ends, "_id", "_n", "_off")
-    shift = at.select("_id", (F.col("_off") - F.col("_lo") + 1).alias("_by"), "_off", "_n", "_lo")
+    shift = at.select("_id", (F.col("_off") - F.col("_lo") + start).alias("_by"), "_off", "_n", "_lo")
     move = lambda t, cols: t.join(shift.select("_id", "_by"), "_id").withColumns({c: (F.col(c) + F.col("_by")).cast("int") for c in cols} | {"_id": F.lit(1).cast("long")})
-    new = lambda kind, sample: shift.select(F.lit(1).cast("long").alias("_id"), F.lit(kind).alias("_type"), F.lit(None).cast("string").alias("_description"), sample.cast("int").alias("_initial"), sample.cast("int").alias("_final"), F.lit(None).cast("string").alias("_channel"))
-    starts = new("New Segment", F.col("_off") + 1)
-    zeros = new("Time 0", F.lit(1) + F.col("_by")).join(shift.agg(F.count("*").alias("_m")), F.col("_m") > 1).drop("_m")
-    events = move(x.events, ["_initial", "_final"]).select(*x.events.columns).unionByName(starts, allowMissingColumns=True).unionByName(zeros, allowMissingColumns=True)
+    new = lambda facts, sample: shift.select(F.lit(1).cast("long").alias("_id"), *[F.lit(v).cast("string").alias(k) for k, v in facts.items()], sample.cast("int").alias("_initial"), sample.cast("int").alias("_final"), F.lit(None).cast("string").alias("_channel"))
+    starts = new(sep, F.col("_off") + start)
+    zeros = new(zero, F.lit(1) + F.col("_by")).join(shift.agg(F.count("*").alias("_m")), F.col("_m") > 1).drop("_m")
+    events = move(x.events, ["_initial", "_final"]).select(*x.events.columns).unionByName(starts, allowMissingColumns=True).unionByName(zeros, allowMissingColumns=True).distinct()
     names = x.segments.agg(F.array_join(F.array_sort(F.collect_set("_recording")), ";").alias("_recording"))
     segments = names.select(F.lit(1).cast("long").alias("_id"), "_recording", F.lit(1).alias("segment"))
     return x._with(signal=move(x.signal, ["_sample"]).select(*x.signal.columns), events=events, segments=segments, groups=())
