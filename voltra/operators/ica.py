@@ -235,10 +235,8 @@ def cor_table(x: IcaRecording, *eog: str, max_sample: int | None = None) -> Data
     shown = show(_thinned(x, max_sample))
     comps = shown.component_names
     wide = shown.signal.join(x.segments.select("_id", "_recording"), "_id").dropna(subset=[*comps, *eog])
-    flat = wide.groupBy("_recording").agg(*[F.corr(c, e).alias(f"{c}|{e}") for c in comps for e in eog])
-    long = flat.unpivot(["_recording"], [f"`{c}|{e}`" for c in comps for e in eog], "_k", "cor")
-    parts = F.split(F.regexp_replace("_k", "`", ""), r"\|")
-    return long.select("_recording", parts[0].alias("_ica"), parts[1].alias("_eog"), "cor").orderBy(F.desc(F.abs("cor")))
+    flat = wide.groupBy("_recording").agg(F.array(*[F.struct(F.lit(c).alias("_ica"), F.lit(e).alias("_eog"), F.corr(c, e).alias("cor")) for c in comps for e in eog]).alias("_all"))
+    return flat.select("_recording", F.inline("_all")).orderBy(F.desc(F.abs("cor")))
 
 
 def _thinned(x: IcaRecording, max_sample: int | None) -> IcaRecording:
