@@ -399,6 +399,26 @@ def test_brainvision_formats_agree(spark, tmp_path, kind, orientation):
     assert x.events.filter("_type = 'Stimulus'").select("_initial", "_final", "_channel").first() == (4, 6, "HEOG_1")
 
 
+def test_large_brainvision_files_are_read_in_splits(spark, synthetic_file, monkeypatch):
+    whole = brainvision.read_vhdr(spark, synthetic_file)
+    monkeypatch.setattr(brainvision, "BLOCK", 4096)
+    split = brainvision.read_vhdr(spark, synthetic_file)
+    assert split.signal.rdd.getNumPartitions() > 4 > whole.signal.rdd.getNumPartitions()
+    assert values(split, "_id", "_sample", "A", "B", "C") == values(whole, "_id", "_sample", "A", "B", "C")
+    assert split.segments.count() == 2 and split.signal.count() == 5000
+
+
+@pytest.fixture
+def synthetic_file(spark, tmp_path):
+    rng = np.random.RandomState(4)
+    x = make(spark, {c: rng.standard_normal(5000).astype("f4") for c in "ABC"}, (1, 2), 1, [(1, "New Segment", None, 1, 1, None), (2, "New Segment", None, 1, 1, None)])
+    (path,) = brainvision.write_vhdr(x, str(tmp_path / "big.vhdr"))
+    back = brainvision.read_vhdr(spark, path)
+    assert np.allclose(values(back, "A", "B", "C"), values(x, "A", "B", "C"))
+    assert back.events.filter("_type = 'New Segment'").count() == 2
+    return path
+
+
 def test_edf(spark, tmp_path):
     pad = lambda s, n: str(s).ljust(n).encode()
     labels, n = ["Fz", "Cz", "EDF Annotations"], [4, 4, 16]

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from ..model import EVENTS, Recording
 from ..operators.timeline import unsegment
 
 _KINDS = {"INT_16": "<i2", "UINT_16": "<u2", "INT_32": "<i4", "IEEE_FLOAT_32": "<f4", "IEEE_FLOAT_64": "<f8"}
+#: Bytes of a data file (of interleaved channels) above which it is read in splits of as many, instead of as one row.
+BLOCK = 64 << 20
 
 
 def read_ini(text: str) -> dict[str, dict[str, str]]:
@@ -95,6 +98,13 @@ def read_markers(text: str) -> list[tuple]:
     return out
 
 
+def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """_at (byte place) and content of every ``width`` bytes of a file, read in splits; no DataFrame source has these."""
+    conf = {"fixedlengthinputformat.record.length": str(width), "mapreduce.input.fileinputformat.split.maxsize": str(max(width, BLOCK))}
+    rows = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    return spark.createDataFrame(rows.map(lambda r: (r[0], bytes(r[1]))), "_at long, content binary", verifySchema=False)
+
+
 def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'", zero: str = "_type = 'Time 0'", recording: str | None = None) -> Recording:
     """A recording from its header file: a segment from each event that ``sep`` picks, sample 1 at the event in it that
     ``zero`` picks (or at its start)."""
@@ -107,7 +117,9 @@ def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'"
 
     def decode(batches):
         for pdf in batches:
-            for content in pdf["content"]:
+            # records of one sample each go together; a whole file is one row
+            contents = [b"".join(pdf["content"])] if "_at" in pdf else pdf["content"]
+            for content in contents:
                 if kind == "ASCII":
                     lines = bytes(content).decode("latin-1").replace(",", ".").splitlines()[skip[0] :]
                     m = np.array([[float(x) for x in ln.split()[skip[1] :]] for ln in lines if ln.strip()])
@@ -115,7 +127,7 @@ def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'"
                 else:
                     flat = np.frombuffer(bytes(content), _KINDS[kind]).astype(float)
                     m = (flat.reshape(-1, n) if multi else flat.reshape(n, -1).T) * scale
-                sample = np.arange(1, len(m) + 1)
+                sample = pdf["_at"].to_numpy() // width + 1 if "_at" in pdf else np.arange(1, len(m) + 1)
                 k = np.searchsorted(bounds[:, 1], sample, side="right") - 1  # the segment a sample lies in
                 ok = k >= 0
                 k, m, sample = k[ok], m[ok], sample[ok]
@@ -134,12 +146,22 @@ def read_vhdr(spark: SparkSession, path: str, sep: str = "_type = 'New Segment'"
         spans.append((i + 1, s, next((z for z in zeros if s <= z <= stop), s), stop))
     spans_df = spark.createDataFrame(spans, "_new long, _lower int, _first int, _upper int")
     bounds = np.array(spans, np.int64)
-    signal = spark.read.format("binaryFile").load(local(head["data"])).select("content").mapInPandas(decode, "_id long, _sample int, " + ", ".join(f"`{c}` double" for c in names))
+    width = 0 if kind == "ASCII" else n * np.dtype(_KINDS[kind]).itemsize
+    whole = spark.read.format("binaryFile").load(local(head["data"]))
+    large = width and multi and whole.select("length").first()[0] > BLOCK
+    content = _records(spark, local(head["data"]), width) if large else whole.select("content")
+    signal = content.mapInPandas(decode, "_id long, _sample int, " + ", ".join(f"`{c}` double" for c in names))
     cut = events.drop("_id").join(F.broadcast(spans_df), (F.col("_initial") <= F.col("_upper")) & (F.col("_final") >= F.col("_lower"))).select(F.col("_new").alias("_id"), "_type", "_description", (F.greatest("_initial", "_lower") - F.col("_first") + 1).alias("_initial"), (F.least("_final", "_upper") - F.col("_first") + 1).alias("_final"), "_channel")
     segments = spark.createDataFrame([(i, recording or stem, i) for i, *_ in spans], "_id long, _recording string, segment int")
     return Recording(signal, cut, segments, head["rate"], head["channels"])
 
 
+def _encoded(batches):
+    for b in batches:
+        m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], names=["content"])
+
+
 def write_vhdr(x: Recording, path: str, overwrite: bool = False) -> list[str]:
     """One header, marker and float32 data file per recording in the local folder of ``path``; the names written."""
     recordings = sorted(r["_recording"] for r in x.segments.select("_recording").distinct().collect())
@@ -151,13 +173,13 @@ def write_vhdr(x: Recording, path: str, overwrite: bool = False) -> list[str]:
             raise FileExistsError(base + ".vhdr")
         one = unsegment(x.filter(F.col("_recording") == r).na_omit())
         names, b = one.channel_names, os.path.basename(base)
-        with open(base + ".dat", "wb") as f:  # streamed a partition at a time
-            for row in one.signal.orderBy("_sample").select(*names).toLocalIterator():
-                f.write(np.array(row, "<f4").tobytes())
+        with open(base + ".dat", "wb") as f:  # encoded by tasks, streamed a partition at a time
+            for row in one.signal.orderBy("_sample").select(*names).mapInArrow(_encoded, "content binary").toLocalIterator():
+                f.write(row["content"])
         info = {f"Ch{i}": f"{c},{x.channels[c].get('_reference') or ''},1,{x.channels[c].get('unit') or 'uV'}" for i, c in enumerate(names, 1)}
         place = {f"Ch{i}": ",".join(f"{v:g}" for v in xyz_to_spherical(*(x.channels[c].get(k) for k in ("_x", "_y", "_z")))) for i, c in enumerate(names, 1)}
         head = {"Common Infos": {"Codepage": "UTF-8", "DataFile": b + ".dat", "MarkerFile": b + ".vmrk", "DataFormat": "BINARY", "DataOrientation": "MULTIPLEXED", "DataType": "TIMEDOMAIN", "NumberOfChannels": str(len(names)), "SamplingInterval": f"{1e6 / x.rate:.10g}"}, "Binary Infos": {"BinaryFormat": "IEEE_FLOAT_32"}, "Channel Infos": info, "Coordinates": place}
-        events = one.events.orderBy("_initial", "_type").collect()
+        events = one.events.fillna("", ["_type", "_description"]).distinct().orderBy("_initial", "_type").collect()
         marks = {f"Mk{i}": f"{(e['_type'] or '').replace(',', chr(92) + '1')},{(e['_description'] or '').replace(',', chr(92) + '1')},{e['_initial']},{e['_final'] - e['_initial'] + 1},{names.index(e['_channel']) + 1 if e['_channel'] in names else 0}" for i, e in enumerate(events, 1)}
         with open(base + ".vhdr", "w", encoding="utf-8") as f:
             f.write(write_ini(head, "Brain Vision Data Exchange Header File Version 2.0"))
