@@ -478,6 +478,24 @@ def test_components_have_a_model_for_each_recording(spark):
         assert c.max(0).min() > 0.95
 
 
+def test_components_of_many_channels_stay_a_small_plan(spark):
+    rng = np.random.RandomState(7)
+    m, w = rng.standard_normal((60, 34)), rng.standard_normal((34, 34))
+    x = make(spark, {f"c{i}": m[:, i] for i in range(34)}, (1, 2)).mutate(c3="CASE WHEN _sample <> 5 THEN c3 END")
+    y = ica.show(ica.with_models(x, {"recording1": (np.linalg.inv(w), w)}))
+    got = np.array(values(y, *y.component_names), float)
+    held = m.copy()
+    held[[4, 34], 3] = np.nan
+    assert np.allclose(got, (held - np.nanmean(held, 0)) @ w * ica.COMPONENT_SCALE, equal_nan=True) and np.isnan(got).any(1).sum() == 2
+    back = ica.keep(y)
+    assert np.allclose(np.array(values(back, *back.channel_names), float)[:4], m[:4]) and not back.component_names
+    shares = {r["_ica"]: r["var"] for r in ica.var_table(y).collect()}
+    assert len(shares) == 34
+    assert np.allclose(np.array(values(ica.show(y, "ICA2"), "ICA2"), float), np.array(values(y, "ICA2"), float), equal_nan=True)
+    with pytest.raises(ValueError, match="not those"):
+        ica.with_models(x, {"recording1": (w[:3], w[:, :3].T)})
+
+
 def test_numbers_over_whole_tables(spark):
     from voltra.plans import numbering
 

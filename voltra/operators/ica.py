@@ -1,4 +1,4 @@
-"""Independent components: one model per recording, fitted in a group of its own and applied as Native expressions."""
+"""Independent components: one model per recording, fitted in a group of its own and applied to Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import selectors as sel
 from ..functions.channels import row_mean
 from ..model import Recording
+from ..plans import segments
 from .timeline import events_to_na
 
 #: Size of a component signal relative to its unit-variance source.
@@ -168,17 +171,24 @@ def _centred(x: IcaRecording) -> tuple[DataFrame, list[str]]:
     return x.signal.join(x.segments.select("_id", "_recording"), "_id").join(means, "_recording"), names
 
 
-def _weighted(wide: DataFrame, **weights: dict[str, np.ndarray]) -> DataFrame:
-    """``wide`` with a column of matrices (a list for each result) by recording: one join, whatever the number of models."""
-    rows = [(r, *[w[r].T.tolist() for w in weights.values()]) for r in next(iter(weights.values()))]
-    table = wide.sparkSession.createDataFrame(rows, "_recording string, " + ", ".join(f"{k} array<array<double>>" for k in weights))
-    return wide.join(table, "_recording", "left")
+def _applied(wide: DataFrame, names: list[str], weights: dict[str, np.ndarray], out: list[str]) -> DataFrame:
+    """``wide`` with the columns ``out``: Σ (channel − mean)·weight, with the weights of the row's recording (none: null), as
+    a matrix product of each Arrow batch, as expressions would have channels × components terms."""
 
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            v = segments.values(t, names) - segments.values(t, [f"_m_{c}" for c in names])
+            which = t.column("_recording").combine_chunks().dictionary_encode()
+            codes = which.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            y = np.full((len(v), len(out)), np.nan)
+            for k, r in enumerate(which.dictionary.to_pylist()):
+                if r in weights:
+                    y[codes == k] = v[codes == k] @ weights[r]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(segments.column(y[:, j]) for j in range(len(out)))], names=schema.names)
 
-def _linear(names: list[str], size: int, weights: str = "_w", scale: float = 1.0) -> list[Column]:
-    """Columns Σ (channel − mean)·weight, with the weights of the row's recording."""
-    one = lambda j: reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_m_{c}")) * F.get(F.get(weights, F.lit(j)), F.lit(i)) for i, c in enumerate(names)])
-    return [one(j) * scale for j in range(size)]
+    schema = T.StructType([*wide.schema.fields, *(T.StructField(c, T.DoubleType()) for c in out)])
+    return wide.mapInArrow(run, schema)
 
 
 def with_models(x: Recording, models: dict[str, tuple[np.ndarray, np.ndarray]], *channels) -> IcaRecording:
@@ -204,8 +214,8 @@ def show(x: IcaRecording, *components) -> IcaRecording:
     wide, names = _centred(x)
     all_ = next(iter(x.models.values()))[3]
     chosen = sel.resolve(all_, *components)
-    exprs = _linear(names, len(all_), scale=COMPONENT_SCALE)
-    signal = _weighted(wide, _w={r: m[2] for r, m in x.models.items()}).select(*x.signal.columns, *[exprs[all_.index(c)].alias(c) for c in chosen])
+    weights = {r: m[2][:, [all_.index(c) for c in chosen]] * COMPONENT_SCALE for r, m in x.models.items()}
+    signal = _applied(wide.drop(*chosen), names, weights, chosen).select(*[c for c in x.signal.columns if c not in chosen], *chosen)
     return x._with(signal=signal, channels=x.channels | {c: {"kind": "component"} for c in chosen})
 
 
@@ -219,9 +229,8 @@ def keep(x: IcaRecording, *components, **by_recording) -> IcaRecording:
         at = [comps.index(c) for c in chosen]
         parts[r] = w[:, at] @ a[at]
         models[r] = (chs, a[at], w[:, at], chosen)
-    exprs = _linear(names, len(names))
-    back = {c: e + F.col(f"_m_{c}") for c, e in zip(names, exprs, strict=True)}
-    signal = _weighted(wide, _w=parts).withColumns({f"_r_{c}": e for c, e in back.items()}).select(*[F.col(f"_r_{c}").alias(c) if c in back else c for c in x.signal.columns if c not in x.component_names])
+    back = {c: (F.col(f"_r_{c}") + F.col(f"_m_{c}")).alias(c) for c in names}
+    signal = _applied(wide, names, parts, [f"_r_{c}" for c in names]).select(*[back.get(c, c) for c in x.signal.columns if c not in x.component_names])
     return x._with(signal=signal, models=models, channels={c: v for c, v in x.channels.items() if v.get("kind") != "component"})
 
 
@@ -253,9 +262,10 @@ def var_table(x: IcaRecording, max_sample: int | None = None) -> DataFrame:
     wide, names = _centred(_thinned(x, max_sample))
     total = row_mean(names)
     comps = next(iter(x.models.values()))[3]
-    wide = _weighted(wide, _w={r: m[2] for r, m in x.models.items()}, _a={r: m[1].mean(1)[:, None] for r, m in x.models.items()})
+    parts = [f"_part_{c}" for c in comps]
+    wide = _applied(wide, names, {r: m[2] * m[1].mean(1) for r, m in x.models.items()}, parts)
     middle = reduce(lambda a, b: a + b, [F.col(f"_m_{n}") for n in names]) / len(names)
-    rest = [e * F.get(F.get("_a", F.lit(0)), F.lit(k)) + middle - total for k, e in enumerate(_linear(names, len(comps)))]
+    rest = [F.col(c) + middle - total for c in parts]
     flat = wide.dropna(subset=names).groupBy("_recording").agg(*[(1 - F.var_samp(r) / F.var_samp(total)).alias(c) for c, r in zip(comps, rest, strict=True)])
     return flat.unpivot(["_recording"], comps, "_ica", "var").orderBy(F.desc("var"))
 
